@@ -107,14 +107,56 @@ select page_id, host, path, rule, case when rule in ('example.com/en/7', 'net/de
   when low > 0.25 then 'block' else 'allow' end as verdict from r
 """
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.sharding import external_shuffle
+
+    placed = external_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return placed.select(
+        "doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.mixing import mix
+
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
+
+
+OP8_SQL = """
+with recursive d as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
+    ('0x' || md5('11:' || doc_id)[1:13])::bigint / 4503599627370496.0::double as u from documents),
+s as (
+  select source, sum(size)::bigint as source_size,
+    [5, 2, 1][(row_number() over (order by source is null, source collate "binary") - 1) % 3 + 1]::double as w from d group by source),
+t as (  -- rounds of resharing: those above their cap stop at it
+  select 0 as round, source, source_size, w, w * sum(source_size) over () / sum(w) over () as target, false as stops from s
+  union all
+  select round + 1, source, source_size, w, case when now then 3.0 * source_size else w * (sum(source_size) over () - sum(case when now then 3.0 * source_size else 0 end) over ()) / sum(case when now then 0 else w end) over () end, now
+  from (select *, stops or target >= 3.0 * source_size as now from t) where round < 60),
+p as (select source, source_size, target, floor(target / nullif(source_size, 0) + 1e-9) as whole from t where round = 60),
+r as (
+  select d.*, p.source_size, p.target, coalesce(whole, 0) as whole, target - coalesce(whole, 0) * p.source_size as wanted,
+    coalesce(sum(size) over (partition by d.source order by u, doc_id rows between unbounded preceding and 1 preceding), 0) as before
+  from d join p on p.source is not distinct from d.source)
+select doc_id, size, source_size, round(target, 4) as target,
+  (size * (whole + case when wanted > 1e-9 * source_size and before < wanted and (before + size <= wanted or before + size - wanted <= wanted - before) then 1 else 0 end))::bigint as taken
+from r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op5_sharding": op5_sharding,
+    "op8_mixing": op8_mixing,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_jaccard_join": OP1_SQL,
+    "op8_mixing": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
     "op10_url_filter": OP10_SQL,
 }
