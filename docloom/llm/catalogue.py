@@ -117,6 +117,19 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.secrets import secret_spans
+
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.kind.isin("assign", "access", "hex"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    counts = [F.size(F.filter("spans", lambda s, kind=kind: s.kind == kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.mixing import mix
 
@@ -149,6 +162,7 @@ from r
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op5_sharding": op5_sharding,
+    "op6_secrets": op6_secrets,
     "op8_mixing": op8_mixing,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,
