@@ -107,6 +107,16 @@ select page_id, host, path, rule, case when rule in ('example.com/en/7', 'net/de
   when low > 0.25 then 'block' else 'allow' end as verdict from r
 """
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm import quality
+    from docloom.llm.samples import crc_mod
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 5) != 0).select("doc_id", F.col("quality").cast("int").alias("label"))
+    scored = quality.score(docs, quality.train(docs, labels))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.sharding import external_shuffle
 
@@ -130,6 +140,16 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm import toxicity
+    from docloom.llm.samples import crc_mod
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 3) != 1).select("doc_id", F.col("toxic").cast("int").alias("label"))
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.mixing import mix
 
@@ -161,8 +181,10 @@ from r
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op3_quality": op3_quality,
     "op5_sharding": op5_sharding,
     "op6_secrets": op6_secrets,
+    "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op9_decontaminate": op9_decontaminate,
     "op10_url_filter": op10_url_filter,

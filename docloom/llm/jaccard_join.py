@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.components import components
@@ -153,8 +153,49 @@ def _small_clusters(members: DataFrame, n: int, percent: int) -> DataFrame:
     return members.groupBy("cluster").applyInArrow(run, "a long, b long")
 
 
+def _exact(left: Column, right: Column, percent: int) -> Column:
+    common = F.size(F.array_intersect(left, right))
+    return (common > 0) & (100 * common >= percent * (F.size(left) + F.size(right) - common))
+
+
+def _block_links(percent: int):
+    """Links between the documents of side 0 and all others of a unit, by counting common shingles."""
+
+    def run(unit: pa.Table) -> pa.Table:
+        rows = unit.sort_by([("side", "ascending"), ("doc_id", "ascending")])
+        ids, sides, main = (rows[c].to_numpy() for c in ("doc_id", "side", "main"))
+        sets = [s.values.to_numpy() for s in rows["s"]]
+        n = int((sides == 0).sum())
+        if n == len(sets):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        size = np.array([len(s) for s in sets[n:]])
+        every = np.concatenate(sets[n:])
+        order = np.argsort(every, kind="stable")
+        owner, every = np.repeat(np.arange(len(size)), size)[order], every[order]
+        a, b = [], []
+        for i in range(n):
+            low, high = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
+            held = high - low
+            at = np.repeat(low - np.concatenate([[0], np.cumsum(held)[:-1]]), held) + np.arange(held.sum())
+            common = np.bincount(owner[at], minlength=len(size))
+            hit = np.flatnonzero((common > 0) & (100 * common >= percent * (len(sets[i]) + size - common)) & (ids[n:] != ids[i]))
+            near = hit[main[n:][hit]]
+            for j in [*near[:1], *hit[~main[n:][hit]]]:  # what the hub holds together needs one link
+                a.append(ids[i])
+                b.append(ids[n + j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _large_clusters(members: DataFrame, n: int, percent: int) -> DataFrame:
-    """Verified links ``a, b`` within clusters of any size, from ``cluster, doc_id, text``."""
+    """Links ``a, b`` that give the components within clusters of any size, from ``cluster, doc_id, text``.
+
+    A cluster's pivot is the set of the shingles that most of its documents have.  The document nearest to it is the
+    hub: documents linked with the hub are never compared with each other.  Each other document is compared with all
+    in the rings around the pivot that the triangle inequality leaves; rings are dealt into blocks, and a unit of work
+    is a block of such documents with a block of any.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,22 +203,32 @@ def _large_clusters(members: DataFrame, n: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, len(texts)) for i in (0, 1)), _lists(shingle_sets(Words(texts), n))], ["cluster", "doc_id", "s"])
 
     sets = cut_lineage(members.select("cluster", "doc_id", "text").mapInArrow(run, "cluster long, doc_id long, s array<long>"))
-    tokens = sets.select("cluster", "doc_id", F.size("s").alias("size"), F.explode("s").alias("t"))
-    counted = tokens.groupBy("cluster", "t").agg(F.count("*").alias("df"))
-    rare = Window.partitionBy("cluster", "doc_id").orderBy("df", "t")
-    # linked sets share at least ceil(percent of the larger size) shingles, so also one of each one's rarest others
-    prefix = tokens.join(counted, ["cluster", "t"]).withColumn("at", F.row_number().over(rare)).where(F.expr(f"at <= size - ceil(size * {percent} / 100.0) + 1"))
-    prefix = cut_lineage(prefix.select("cluster", "t", "doc_id", "size"))
-    left, right = prefix.alias("l"), prefix.alias("r")
-    pairs = (
-        left.join(right, ["cluster", "t"])
-        .where(F.expr(f"l.doc_id < r.doc_id and 100 * l.size >= {percent} * r.size and 100 * r.size >= {percent} * l.size"))
-        .select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"))
-        .distinct()
+    rows = sets.groupBy("cluster").agg(F.count("*").alias("rows"))
+    often = sets.select("cluster", F.explode("s").alias("t")).groupBy("cluster", "t").agg(F.count("*").alias("df")).join(rows, "cluster").where("2 * df > rows")
+    pivot = often.groupBy("cluster").agg(F.collect_list("t").alias("p"))  # at most twice the mean size of the cluster's sets
+    common = F.size(F.array_intersect("s", F.coalesce("p", F.array().cast("array<bigint>"))))
+    union = F.size("s") + F.coalesce(F.size("p"), F.lit(0)) - common
+    far = sets.join(pivot, "cluster", "left").select("cluster", "doc_id", "s", ((union - common) / union).alias("far"))
+    far = cut_lineage(far)
+    hub = far.groupBy("cluster").agg(F.min(F.struct("far", "doc_id", "s")).alias("h")).select("cluster", F.col("h.doc_id").alias("hub"), F.col("h.s").alias("hub_set"))
+    ring = F.floor(F.col("far") / ((100 - percent) / 100 + 1e-9))
+    placed = far.join(hub, "cluster").select("cluster", "doc_id", "s", ring.alias("ring"), "hub", _exact(F.col("s"), F.col("hub_set"), percent).alias("main"))
+    placed = cut_lineage(placed)
+    links = placed.where("main and doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+    rest = placed.where("not main")
+    ys = placed.groupBy("cluster", "ring").agg(F.ceil(F.count("*") / CLUSTER_ROWS).alias("m"))
+    xs = rest.groupBy("cluster", "ring").agg(F.ceil(F.count("*") / CLUSTER_ROWS).alias("m"))
+    units = (
+        xs.select("cluster", F.col("ring").alias("xr"), F.col("m").alias("xm")).join(ys.select("cluster", F.col("ring").alias("yr"), F.col("m").alias("ym")), "cluster").where("abs(xr - yr) <= 1")
+        .withColumn("xb", F.explode(F.expr("sequence(0L, xm - 1)"))).withColumn("yb", F.explode(F.expr("sequence(0L, ym - 1)")))
     )
-    one, two = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return pairs.join(one, "a").join(two, "b").where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    units = cut_lineage(units)
+    block = F.pmod(F.xxhash64("doc_id"), F.col("m"))
+    one = rest.join(xs, ["cluster", "ring"]).select("cluster", F.col("ring").alias("xr"), block.alias("xb"), "doc_id", "s", "main").join(units, ["cluster", "xr", "xb"])
+    two = placed.join(ys, ["cluster", "ring"]).select("cluster", F.col("ring").alias("yr"), block.alias("yb"), "doc_id", "s", "main").join(units, ["cluster", "yr", "yb"])
+    columns = ["cluster", "xr", "xb", "yr", "yb", "doc_id", "s", "main"]
+    both = one.select(*columns, F.lit(0).alias("side")).unionByName(two.select(*columns, F.lit(1).alias("side")))
+    return links.unionByName(both.groupBy("cluster", "xr", "xb", "yr", "yb").applyInArrow(_block_links(percent), "a long, b long")).distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
