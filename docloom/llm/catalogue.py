@@ -107,6 +107,16 @@ select page_id, host, path, rule, case when rule in ('example.com/en/7', 'net/de
   when low > 0.25 then 'block' else 'allow' end as verdict from r
 """
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm import language
+    from docloom.llm.samples import crc_mod
+
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(crc_mod(F.col("doc_id"), 5) != 0))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm import quality
     from docloom.llm.samples import crc_mod
@@ -181,6 +191,7 @@ from r
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op2_language": op2_language,
     "op3_quality": op3_quality,
     "op5_sharding": op5_sharding,
     "op6_secrets": op6_secrets,
