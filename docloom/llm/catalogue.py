@@ -127,6 +127,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docloom.llm.media import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.llm.sharding import external_shuffle
 
@@ -193,6 +199,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_language": op2_language,
     "op3_quality": op3_quality,
+    "op4_media": op4_media,
     "op5_sharding": op5_sharding,
     "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
