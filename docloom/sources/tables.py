@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +20,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The folder is the one that ``spark.checkpoint.dir`` names.  Only a session without that setting (a test) gets a
     temporary one.
     """
-    context = df.sparkSession.sparkContext
+    _checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _checkpoint_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+class KeptTable:
+    """Rows written to the checkpoint folder as Parquet, for wide rows that are read more than once; to be dropped."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.path = df.sparkSession, f"{_checkpoint_folder(df.sparkSession)}/docloom-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
