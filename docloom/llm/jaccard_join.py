@@ -14,17 +14,17 @@ matched, and the matched pairs are verified.  Both ways are exact; neither caps
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.components import components
-from docloom.llm.shingle_sets import linked, shingle_sets, signatures
+from docloom.llm.shingle_sets import set_hashes, shingle_sets, signatures
 from docloom.llm.textblocks import Words, blocks
-from docloom.sources.tables import cut_lineage
+from docloom.sources.tables import KeptTable, cut_lineage, release
 
 #: Documents of a cluster that one task joins.
 CLUSTER_ROWS = 100
@@ -32,25 +32,34 @@ CLUSTER_ROWS = 100
 REGION_ROWS = 12
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.empty(0, np.int64)]).view(np.int64)))
+def set_sizes(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``doc_id, n_shingles, set_hash`` of each row of ``doc_id, text``, from its whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in blocks(batch.column(1)):
+                sets = shingle_sets(Words(texts), n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_hashes(sets))], ["doc_id", "n_shingles", "set_hash"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash long")
 
 
-def set_signatures(docs: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, set_hash, sigs`` of each document, from its whole text."""
+def set_signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``sig, node`` of each row of ``doc_id, text``: the signatures of its set, and the set's hash.
+
+    Within a block of texts equal sets count once, so copies don't swell the rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in blocks(batch.column(1)):
+            for _, texts in blocks(batch.column(1)):
                 sets = shingle_sets(Words(texts), n)
+                once = np.unique(set_hashes(sets), return_index=True)[1]
+                sets = [sets[i] for i in once]
                 whole, sigs = signatures(sets, percent)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole), _lists(sigs)],
-                    ["doc_id", "n_shingles", "set_hash", "sigs"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sigs, np.empty(0, np.int64)])), pa.array(np.repeat(whole, [len(x) for x in sigs]))], ["sig", "node"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_hash long, sigs array<long>")
+    return docs.where("doc_id is not null").mapInArrow(run, "sig long, node long")
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,12 +81,12 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_edges(members: DataFrame, parts: int) -> DataFrame:
-    """Edges ``a, b`` that hang together the documents of each signature, from rows ``sig, doc_id``.
+    """Edges ``a, b`` that hang together the sets of each signature, from rows ``sig, node``.
 
-    The rows are sorted over all partitions by signature and document, so that a signature of very many documents
-    spreads over partitions.  Each partition links neighbours; the ends of partitions are linked by signature.
+    The rows are sorted over all partitions by signature and set, so that a signature of very many sets spreads over
+    partitions.  Each partition links neighbours; the ends of partitions are linked by signature.
     """
-    found = cut_lineage(members.repartitionByRange(parts, "sig", "doc_id").sortWithinPartitions("sig", "doc_id").mapInArrow(_neighbours, "a long, b long, sig long"))
+    found = cut_lineage(members.repartitionByRange(parts, "sig", "node").sortWithinPartitions("sig", "node").mapInArrow(_neighbours, "a long, b long, sig long"))
     ends = found.where("b is null").select("sig", "a")
     least = ends.groupBy("sig").agg(F.min("a").alias("m"))
     across = ends.join(least, "sig").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
@@ -141,11 +150,11 @@ def metric_links(sets: list[np.ndarray], percent: int) -> list[int]:
 
 
 def _small_clusters(members: DataFrame, n: int, percent: int) -> DataFrame:
-    """``node, component`` within clusters of at most CLUSTER_ROWS documents, from ``cluster, doc_id, text``."""
+    """Links ``a, b`` that give the components within clusters of at most CLUSTER_ROWS sets, from ``cluster, node, text``."""
 
     def run(group: pa.Table) -> pa.Table:
-        rows = group.sort_by("doc_id")
-        ids = rows["doc_id"].to_pylist()
+        rows = group.sort_by("node")
+        ids = rows["node"].to_pylist()
         sets = [s for _, texts in blocks(rows["text"]) for s in shingle_sets(Words(texts), n)]
         roots = metric_links(sets, percent)
         return pa.table({"a": pa.array([ids[r] for r in roots], pa.int64()), "b": pa.array(ids, pa.int64())})
@@ -153,18 +162,35 @@ def _small_clusters(members: DataFrame, n: int, percent: int) -> DataFrame:
     return members.groupBy("cluster").applyInArrow(run, "a long, b long")
 
 
-def _exact(left: Column, right: Column, percent: int) -> Column:
-    common = F.size(F.array_intersect(left, right))
-    return (common > 0) & (100 * common >= percent * (F.size(left) + F.size(right) - common))
+def _per_set(rows: DataFrame, n: int, schema: str, made: Callable[[pa.RecordBatch, int, np.ndarray], list[tuple]]) -> DataFrame:
+    """Rows that ``made`` gives for each row of ``cluster, node, text, ...`` (batch, index, shingle set)."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in blocks(batch.column("text")):
+                out = [x for i, s in enumerate(shingle_sets(Words(texts), n), first) for x in made(batch, i, s)]
+                yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], kinds)
 
-def _block_links(percent: int):
-    """Links between the documents of side 0 and all others of a unit, by counting common shingles."""
+    kinds = pa.schema([(f.split()[0], {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}[f.split()[1]]) for f in schema.split(", ")])
+    return rows.mapInArrow(run, schema)
+
+
+def _against(batch: pa.RecordBatch, i: int, s: np.ndarray, name: str) -> tuple[int, int]:
+    """Sizes of the intersection and the union with the row's array ``name`` (null: empty)."""
+    given = batch.column(name)[i]
+    other = given.values.to_numpy().view(np.uint64) if given.is_valid else np.empty(0, np.uint64)
+    common = len(np.intersect1d(s, other, assume_unique=True))
+    return common, len(s) + len(other) - common
+
+
+def _block_links(n_words: int, percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Links between the sets of side 0 and all others of a unit, by counting common shingles."""
 
     def run(unit: pa.Table) -> pa.Table:
-        rows = unit.sort_by([("side", "ascending"), ("doc_id", "ascending")])
-        ids, sides, main = (rows[c].to_numpy() for c in ("doc_id", "side", "main"))
-        sets = [s.values.to_numpy() for s in rows["s"]]
+        rows = unit.sort_by([("side", "ascending"), ("node", "ascending")])
+        ids, sides, main = (rows[c].to_numpy() for c in ("node", "side", "main"))
+        sets = [s for _, texts in blocks(rows["text"]) for s in shingle_sets(Words(texts), n_words)]
         n = int((sides == 0).sum())
         if n == len(sets):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -189,32 +215,36 @@ def _block_links(percent: int):
 
 
 def _large_clusters(members: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links ``a, b`` that give the components within clusters of any size, from ``cluster, doc_id, text``.
+    """Links ``a, b`` that give the components within clusters of any size, from ``cluster, node, text``.
 
-    A cluster's pivot is the set of the shingles that most of its documents have.  The document nearest to it is the
-    hub: documents linked with the hub are never compared with each other.  Each other document is compared with all
-    in the rings around the pivot that the triangle inequality leaves; rings are dealt into blocks, and a unit of work
-    is a block of such documents with a block of any.
+    A cluster's pivot is the set of the shingles that most of its sets have.  The set nearest to it is the hub: sets
+    linked with the hub are never compared with each other.  Each other set is compared with all in the rings around
+    the pivot that the triangle inequality leaves; rings are dealt into blocks, and a unit of work is a block of such
+    sets with a block of any.
     """
+    tokens = _per_set(members, n, "cluster long, t long", lambda batch, i, s: [(c, t) for c in (batch.column("cluster")[i].as_py(),) for t in s.view(np.int64).tolist()])
+    rows = members.groupBy("cluster").agg(F.count("*").alias("rows"))
+    often = tokens.groupBy("cluster", "t").agg(F.count("*").alias("df")).join(rows, "cluster").where("2 * df > rows")
+    pivot = often.groupBy("cluster").agg(F.collect_list("t").alias("p"))  # at most twice the mean size of the cluster's sets
+    pivot = cut_lineage(pivot.select("cluster", F.array_sort("p").alias("p")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, texts in blocks(batch.column(2)):
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, len(texts)) for i in (0, 1)), _lists(shingle_sets(Words(texts), n))], ["cluster", "doc_id", "s"])
+    def far_from(batch: pa.RecordBatch, i: int, s: np.ndarray) -> list[tuple]:
+        common, union = _against(batch, i, s, "p")
+        return [(batch.column("cluster")[i].as_py(), batch.column("node")[i].as_py(), 1 - common / union)]
 
-    sets = cut_lineage(members.select("cluster", "doc_id", "text").mapInArrow(run, "cluster long, doc_id long, s array<long>"))
-    rows = sets.groupBy("cluster").agg(F.count("*").alias("rows"))
-    often = sets.select("cluster", F.explode("s").alias("t")).groupBy("cluster", "t").agg(F.count("*").alias("df")).join(rows, "cluster").where("2 * df > rows")
-    pivot = often.groupBy("cluster").agg(F.collect_list("t").alias("p"))  # at most twice the mean size of the cluster's sets
-    common = F.size(F.array_intersect("s", F.coalesce("p", F.array().cast("array<bigint>"))))
-    union = F.size("s") + F.coalesce(F.size("p"), F.lit(0)) - common
-    far = sets.join(pivot, "cluster", "left").select("cluster", "doc_id", "s", ((union - common) / union).alias("far"))
-    far = cut_lineage(far)
-    hub = far.groupBy("cluster").agg(F.min(F.struct("far", "doc_id", "s")).alias("h")).select("cluster", F.col("h.doc_id").alias("hub"), F.col("h.s").alias("hub_set"))
+    far = cut_lineage(_per_set(members.join(pivot, "cluster", "left"), n, "cluster long, node long, far double", far_from))
+    hub = far.groupBy("cluster").agg(F.min(F.struct("far", "node")).alias("h")).select("cluster", F.col("h.node").alias("hub"))
+    own = members.join(hub, (members["cluster"] == hub["cluster"]) & (members["node"] == hub["hub"])).select(members["cluster"], "node", "text")
+    hubs = cut_lineage(_per_set(own, n, "cluster long, hub long, p array<long>", lambda batch, i, s: [(batch.column("cluster")[i].as_py(), batch.column("node")[i].as_py(), s.view(np.int64).tolist())]))
+
+    def of_hub(batch: pa.RecordBatch, i: int, s: np.ndarray) -> list[tuple]:
+        common, union = _against(batch, i, s, "p")
+        return [(*(batch.column(c)[i].as_py() for c in ("cluster", "node", "hub")), bool(common) and 100 * common >= percent * union)]
+
+    main = _per_set(members.join(hubs, "cluster"), n, "cluster long, node long, hub long, main boolean", of_hub)
     ring = F.floor(F.col("far") / ((100 - percent) / 100 + 1e-9))
-    placed = far.join(hub, "cluster").select("cluster", "doc_id", "s", ring.alias("ring"), "hub", _exact(F.col("s"), F.col("hub_set"), percent).alias("main"))
-    placed = cut_lineage(placed)
-    links = placed.where("main and doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+    placed = cut_lineage(far.join(main, ["cluster", "node"]).select("cluster", "node", ring.alias("ring"), "hub", "main"))
+    links = placed.where("main and node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     rest = placed.where("not main")
     ys = placed.groupBy("cluster", "ring").agg(F.ceil(F.count("*") / CLUSTER_ROWS).alias("m"))
     xs = rest.groupBy("cluster", "ring").agg(F.ceil(F.count("*") / CLUSTER_ROWS).alias("m"))
@@ -223,12 +253,12 @@ def _large_clusters(members: DataFrame, n: int, percent: int) -> DataFrame:
         .withColumn("xb", F.explode(F.expr("sequence(0L, xm - 1)"))).withColumn("yb", F.explode(F.expr("sequence(0L, ym - 1)")))
     )
     units = cut_lineage(units)
-    block = F.pmod(F.xxhash64("doc_id"), F.col("m"))
-    one = rest.join(xs, ["cluster", "ring"]).select("cluster", F.col("ring").alias("xr"), block.alias("xb"), "doc_id", "s", "main").join(units, ["cluster", "xr", "xb"])
-    two = placed.join(ys, ["cluster", "ring"]).select("cluster", F.col("ring").alias("yr"), block.alias("yb"), "doc_id", "s", "main").join(units, ["cluster", "yr", "yb"])
-    columns = ["cluster", "xr", "xb", "yr", "yb", "doc_id", "s", "main"]
-    both = one.select(*columns, F.lit(0).alias("side")).unionByName(two.select(*columns, F.lit(1).alias("side")))
-    return links.unionByName(both.groupBy("cluster", "xr", "xb", "yr", "yb").applyInArrow(_block_links(percent), "a long, b long")).distinct()
+    block = F.pmod(F.xxhash64("node"), F.col("m"))
+    unit = ["cluster", "xr", "xb", "yr", "yb"]
+    one = rest.join(xs, ["cluster", "ring"]).select("cluster", F.col("ring").alias("xr"), block.alias("xb"), "node", "main").join(units, ["cluster", "xr", "xb"]).select(*unit, "node", "main", F.lit(0).alias("side"))
+    two = placed.join(ys, ["cluster", "ring"]).select("cluster", F.col("ring").alias("yr"), block.alias("yb"), "node", "main").join(units, ["cluster", "yr", "yb"]).select(*unit, "node", "main", F.lit(1).alias("side"))
+    both = one.unionByName(two).join(members.select("node", "text"), "node")
+    return links.unionByName(both.groupBy(*unit).applyInArrow(_block_links(n, percent), "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,28 +269,46 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     lower-cased.  With fewer than ``n`` words the whole sequence is the one shingle.  A null or empty text, or one of
     white space only, has no shingle and is its own component.  Rows that repeat an id count as one document; a row
     without an id is linked with nothing and has no component.  An empty table gives an empty result.  Other columns
-    are ignored.
+    are ignored.  Sets are told apart by a 64-bit hash of their 64-bit shingle hashes.
     """
     spark = docs.sparkSession
-    signed = cut_lineage(set_signatures(docs, n, percent, id_col, text_col))
-    whole = ["set_hash", "n_shingles"]
-    named = signed.where("doc_id is not null and n_shingles > 0")
-    copies = named.groupBy(*whole).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most"))
-    several = copies.where("rep <> most").select(*whole, "rep")
-    # one member of each group of equal sets stands for it
-    single = named.where(F.size("sigs") > 0).join(several, whole, "left").where("rep is null or rep = doc_id")
-    members = single.select(F.explode("sigs").alias("sig"), "doc_id")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), members.rdd.getNumPartitions())
-    cluster = cut_lineage(components(candidate_edges(members, parts)))
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    signed = cut_lineage(set_sizes(text, n, percent))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), text.rdd.getNumPartitions())
+    cluster = cut_lineage(components(candidate_edges(set_signatures(text, n, percent), parts)))
+    release(spark)
     counts = cluster.groupBy("component").agg(F.count("*").alias("rows"))
-    sized = cut_lineage(cluster.join(counts, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "rows"))
-    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    held = cut_lineage(text.join(sized, "doc_id"))
-    small = _small_clusters(held.where(F.col("rows") <= CLUSTER_ROWS), n, percent)
-    links = small.where("a <> b")
-    if not sized.where(F.col("rows") > CLUSTER_ROWS).isEmpty():
-        links = links.unionByName(_large_clusters(held.where(F.col("rows") > CLUSTER_ROWS), n, percent))
-    joined = components(links)
-    reps = several.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(*whole, F.coalesce("component", "rep").alias("of_set"))
-    out = signed.drop("sigs").join(reps, whole, "left").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", "set_hash", F.when(F.col("n_shingles") > 0, F.coalesce("of_set", "component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    sized = cluster.join(counts, "component").select("node", F.col("component").alias("cluster"), "rows")
+    sets = signed.where("doc_id is not null and n_shingles > 0").select("doc_id", F.col("set_hash").alias("node"))
+    # one document's text stands for each set that has candidates
+    stands = cut_lineage(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(sized, "node"))
+    held = KeptTable(text.join(stands, "doc_id").dropDuplicates(["node"]) if _repeats(signed) else text.join(stands, "doc_id"))
+    release(spark)
+    links = _small_clusters(held.rows.where(F.col("rows") <= CLUSTER_ROWS).select("cluster", "node", "text"), n, percent).where("a <> b")
+    if not stands.where(F.col("rows") > CLUSTER_ROWS).isEmpty():
+        links = links.unionByName(_large_clusters(held.rows.where(F.col("rows") > CLUSTER_ROWS).select("cluster", "node", "text"), n, percent))
+    # a set's id is that of its smallest document; sets of one id, where rows repeat it, are linked by it
+    ids = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    joined = cut_lineage(components(links))
+    held.drop()
+    of_set = ids.join(joined, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = of_set.join(least, "component").select(F.col("node").alias("set_hash"), "component_id")
+    out = signed.join(named, "set_hash", "left")
+    whole = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
+    out = out.select("doc_id", "n_shingles", "set_hash", whole.alias("component_id"))
+    return _joined_by_id(out) if _repeats(signed) else out
+
+
+def _repeats(signed: DataFrame) -> bool:
+    """Whether some id has several rows."""
+    return not signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+
+
+def _joined_by_id(out: DataFrame) -> DataFrame:
+    """Components that rows of one id have in common, made one."""
+    out = cut_lineage(out)
+    same = out.where("component_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("a"))
+    edges = out.join(same, "doc_id").select("a", F.col("component_id").alias("b")).where("a <> b")
+    moved = components(edges).select(F.col("node").alias("component_id"), F.col("component").alias("to"))
+    return out.join(moved, "component_id", "left").select("doc_id", "n_shingles", "set_hash", F.coalesce("to", "component_id").alias("component_id"))

@@ -38,6 +38,14 @@ def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
     return sets
 
 
+def set_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """A signed 64-bit hash of each set."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(np.concatenate([*sets, np.empty(0, np.uint64)])), dtype=np.uint64)])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    return mix64(mix64(total[first[1:]] - total[first[:-1]]) + sizes.astype(np.uint64)).view(np.int64)
+
+
 @lru_cache(maxsize=None)
 def band(size: int, percent: int) -> tuple[int, int, int, int]:
     """Of the size band that holds ``size``: its number, lower bound, upper bound and number of classes."""
@@ -59,10 +67,9 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, list[n
     no signatures.
     """
     sizes = np.array([len(s) for s in sets])
-    first = np.concatenate([[0], np.cumsum(sizes)])
     every = np.concatenate([*sets, np.empty(0, np.uint64)])
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(every), dtype=np.uint64)])
-    whole = mix64(mix64(total[first[1:]] - total[first[:-1]]) + sizes.astype(np.uint64)).view(np.int64)
+    whole = set_hashes(sets)
     own = [band(int(n), percent) if n else (0, 0, 0, 1) for n in sizes]
     above = [band(b[2], percent) if n and 100 * n >= percent * b[2] else (0, 0, 0, 1) for n, b in zip(sizes, own, strict=True)]
     out: list[list[np.ndarray]] = [[] for _ in sets]
