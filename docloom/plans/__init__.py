@@ -1 +1 @@
-
+"""Plans of several operators."""

@@ -1 +1 @@
-
+"""Incremental ingest of page texts and articles."""
