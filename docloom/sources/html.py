@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.text import resolve_url
 
@@ -73,7 +74,7 @@ def next_address(html: str | None) -> str | None:
     return parser.by_pagination or parser.by_text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _next(html: pd.Series) -> pd.Series:
     return html.map(next_address)
 
