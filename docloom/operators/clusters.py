@@ -58,19 +58,19 @@ def select_view(views: dict[str, DataFrame], least: int = 5, most: int = 50, vec
 def silhouettes(df: DataFrame, key: str, cluster: str, vector: str = "embedding") -> DataFrame:
     """``key, cluster, silhouette`` by cosine distance.  The mean distance to a cluster follows from the sum of its unit
     vectors, so the work is rows times clusters; a cluster of one has silhouette 0."""
-    own = df.select(key, F.col(cluster).alias("c"), unit(F.col(vector)).alias("v"))
+    own = df.select(F.col(key).alias("__key"), F.col(cluster).alias("c"), unit(F.col(vector)).alias("v"))
     sums = own.select("c", F.posexplode("v").alias("i", "x")).groupBy("c", "i").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
     sums = sums.groupBy("c").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s.x).alias("s"))
     every = F.broadcast(sums.agg(F.collect_list(F.struct(F.col("c").alias("o"), "n", "s")).alias("cs")))  # one vector per cluster
-    pairs = own.join(every).select(key, "c", "v", F.explode("cs").alias("k")).select(key, "c", F.col("k.o").alias("o"), F.col("k.n").alias("n"), dot(F.col("v"), F.col("k.s")).alias("d"))
+    pairs = own.join(every).select("__key", "c", "v", F.explode("cs").alias("k")).select("__key", "c", F.col("k.o").alias("o"), F.col("k.n").alias("n"), dot(F.col("v"), F.col("k.s")).alias("d"))
     same = F.col("c") == F.col("o")
-    means = pairs.groupBy(key, "c").agg(
+    means = pairs.groupBy("__key", "c").agg(
         F.max(F.when(same, F.col("n"))).alias("n"),
         F.max(F.when(same & (F.col("n") > 1), 1 - (F.col("d") - 1) / (F.col("n") - 1))).alias("a"),
         F.min(F.when(~same, 1 - F.col("d") / F.col("n"))).alias("b"),
     )
     value = F.when((F.col("n") == 1) | F.col("b").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return means.select(key, F.col("c").alias(cluster), value.alias("silhouette"))
+    return means.select(F.col("__key").alias(key), F.col("c").alias(cluster), value.alias("silhouette"))
 
 
 def projection(df: DataFrame, key: str, vector: str = "embedding", dimensions: int = 2) -> DataFrame:
