@@ -60,6 +60,12 @@ def _with_fingerprints(hashed: DataFrame) -> DataFrame:
     return hashed.withColumn("g", F.when(enough, grams)).withColumn("fp", F.when(enough, kept).otherwise(empty)).drop("g")
 
 
+def _all_grams(size: int) -> Column:
+    """Of the array ``wh``: every run of ``size`` words, marked by a key of its own for each size."""
+    starts = F.when(F.col("n_words") >= size, F.sequence(F.lit(1), F.col("n_words") - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(F.lit((1 << 33) + size).alias("key"), i.alias("at"), F.lit(0).alias("before"), F.slice("wh", i, size).alias("near")))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_items: int = 2) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, item_ids, contaminated`` of every row of ``docs``.
 
@@ -81,13 +87,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hashed = _hashed(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("t")), "t").drop("t")
     # one more element, so that a document without fingerprints keeps a row
     lone = F.struct(F.lit(-1 << 40).alias("key"), F.lit(0).alias("at"), F.lit(0).alias("before"), F.array().cast("array<bigint>").alias("near"))
-    shorter = [
-        F.transform(
-            F.when(F.col("n_words") >= size, F.sequence(F.lit(1), F.col("n_words") - (size - 1))).otherwise(F.array().cast("array<int>")),
-            lambda i, size=size: F.struct(F.lit((1 << 33) + size).alias("key"), i.alias("at"), F.lit(0).alias("before"), F.slice("wh", i, size).alias("near")),
-        )
-        for size in short
-    ]
+    shorter = [_all_grams(size) for size in short]
     rows = (
         _with_fingerprints(hashed)
         .select("doc_id", "text_hash", "n_words", F.explode(F.concat("fp", F.array(lone), *shorter)).alias("f"))

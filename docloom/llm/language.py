@@ -111,15 +111,14 @@ class Model:
         for k, table in enumerate(self.tables):
             width, flat = table.shape[1], table.ravel()
             start = table[0]
-            state, count = np.zeros(len(pieces), np.int32), np.ones(len(pieces), np.int64)
+            state, count = np.zeros(len(pieces), np.int32), np.zeros(len(pieces), np.int64)
             for at, n in enumerate(open_):
                 c = grid[at, :n]
                 to = flat[state[:n] * width + c]
-                broken = np.flatnonzero(to < 0)
-                if len(broken):
-                    again = start[c[broken]]
-                    count[broken] += (state[:n][broken] > 0) | (again < 0)  # a symbol that occurs nowhere is a phrase
-                    to[broken] = np.maximum(again, 0)
+                ended = to < 0
+                count[:n] += ended | (state[:n] == 0)  # a phrase begins where one ended; a symbol that occurs nowhere is one
+                broken = np.flatnonzero(ended)
+                to[broken] = np.maximum(start[c[broken]], 0)
                 state[:n] = to
             out[:, k] = np.bincount(owner, count, len(texts)).astype(np.int64)
         return out
