@@ -22,30 +22,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.components import components
-from docloom.llm.shingle_sets import set_hashes, shingle_sets, signatures
+from docloom.llm.shingle_sets import PROFILE, profiles, set_hashes, shingle_sets, signatures
 from docloom.llm.textblocks import Words, blocks
 from docloom.sources.tables import KeptTable, cut_lineage, release
 
+#: Sets of a region up to which its pairs are candidates.
+PAIRS_ROWS = 12
 #: Documents of a cluster that one task joins.
 CLUSTER_ROWS = 100
 #: Documents of a region below which all its pairs are compared.
 REGION_ROWS = 12
 
 
-def set_sizes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``doc_id, n_shingles, set_hash`` of each row of ``doc_id, text``, from its whole text."""
+def set_sizes(docs: DataFrame, n: int) -> DataFrame:
+    """``doc_id, n_shingles, set_hash, profile`` of each row of ``doc_id, text``, from its whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in blocks(batch.column(1)):
                 sets = shingle_sets(Words(texts), n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_hashes(sets))], ["doc_id", "n_shingles", "set_hash"])
+                flat = pa.array([p.tobytes() for p in profiles(sets)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_hashes(sets)), flat], ["doc_id", "n_shingles", "set_hash", "profile"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash long, profile binary")
 
 
 def set_signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``sig, node`` of each row of ``doc_id, text``: the signatures of its set, and the set's hash.
+    """``sig, node, tag`` of each row of ``doc_id, text``: the signatures of its set, the set's hash, and their tags.
 
     Within a block of texts equal sets count once, so copies don't swell the rows.
     """
@@ -55,42 +58,88 @@ def set_signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for _, texts in blocks(batch.column(1)):
                 sets = shingle_sets(Words(texts), n)
                 once = np.unique(set_hashes(sets), return_index=True)[1]
-                sets = [sets[i] for i in once]
-                whole, sigs = signatures(sets, percent)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sigs, np.empty(0, np.int64)])), pa.array(np.repeat(whole, [len(x) for x in sigs]))], ["sig", "node"])
+                whole, sigs, tags = signatures([sets[i] for i in once], percent)
+                columns = [np.concatenate([*sigs, np.empty(0, np.int64)]), np.repeat(whole, [len(x) for x in sigs]), np.concatenate([*tags, np.empty(0, np.int32)])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "node", "tag"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "sig long, node long")
+    return docs.where("doc_id is not null").mapInArrow(run, "sig long, node long, tag int")
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by signature: an edge between neighbours with the same one; the partition's ends as marks."""
-    kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sig", pa.int64())])
-    last = None
+_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sig", pa.int64()), ("tag", pa.int32())])
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by signature: the pairs of sets in each small region; the rows (with b null) of large regions, and
+    of the partition's first and last one, which may go on elsewhere."""
+    held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]  # the last region so far
+    first, spilled = True, None
+
+    def rows(sig: np.ndarray, node: np.ndarray, tag: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(sig), pa.array(tag)], schema=_FOUND)
+
     for batch in batches:
-        if batch.num_rows:
-            sig, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            if last is None:
-                yield pa.RecordBatch.from_arrays([pa.array([doc[0]]), pa.array([None], pa.int64()), pa.array([sig[0]])], schema=kind)
-            else:
-                sig, doc = np.insert(sig, 0, last[0]), np.insert(doc, 0, last[1])
-            same = np.flatnonzero((sig[1:] == sig[:-1]) & (doc[1:] != doc[:-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[same]), pa.array(doc[same + 1]), pa.array(np.zeros(len(same), np.int64))], schema=kind)
-            last = sig[-1], doc[-1]
-    if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([last[1]]), pa.array([None], pa.int64()), pa.array([last[0]])], schema=kind)
-
-
-def candidate_edges(members: DataFrame, parts: int) -> DataFrame:
-    """Edges ``a, b`` that hang together the sets of each signature, from rows ``sig, node``.
+        new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        sig, node, tag = (np.concatenate([x, y]) for x, y in zip(held, new, strict=True))
+        if not len(sig):
+            continue
+        again = np.flatnonzero((sig[1:] == sig[:-1]) & (node[1:] == node[:-1])) + 1  # copies from other blocks
+        sig, node, tag = np.delete(sig, again), np.delete(node, again), np.delete(tag, again)
+        edge = np.append(np.flatnonzero(np.diff(sig, prepend=~sig[:1]) != 0), len(sig))
+        size = np.diff(edge)
+        whole = np.ones(len(size), bool)
+        whole[-1] = False  # it may go on in the next batch
+        large = size > PAIRS_ROWS
+        if first or spilled == sig[0]:
+            large[0] = True
+            first = first and len(size) == 1
+        out = np.flatnonzero(large & (whole | (size > PAIRS_ROWS)))
+        if len(out):
+            at = np.concatenate([np.arange(edge[i], edge[i + 1]) for i in out])
+            yield rows(sig[at], node[at], tag[at])
+        for m in range(2, PAIRS_ROWS + 1):
+            at = edge[:-1][(size == m) & whole & ~large]
+            if len(at):
+                i, j = np.triu_indices(m, 1)
+                a, b = node[(at[:, None] + i).ravel()], node[(at[:, None] + j).ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32())], schema=_FOUND)
+        if size[-1] > PAIRS_ROWS:
+            # what comes of this region later joins the rows already given
+            held, spilled = [x[:0] for x in (sig, node, tag)], sig[-1]
+        else:
+            held = [x[edge[-2] :] for x in (sig, node, tag)]
+            spilled = spilled if spilled == sig[-1] else None
+    if len(held[0]):
+        yield rows(*held)
+
+
+def candidate_edges(members: DataFrame, parts: int, signed: DataFrame, percent: int) -> DataFrame:
+    """Edges ``a, b`` that hang together all sets that may be linked, from rows ``sig, node, tag``.
 
     The rows are sorted over all partitions by signature and set, so that a signature of very many sets spreads over
-    partitions.  Each partition links neighbours; the ends of partitions are linked by signature.
+    partitions.  The pairs of small regions are kept where profiles allow a link: by the triangle inequality sets differ
+    at least as much as their numbers of shingles in each part of the hash range do.  A large region is passed over by
+    sets that are in fewer large regions than any set linked with them shares regions with them; such links show in a
+    small region.  The others are linked with the region's smallest set.
     """
-    found = cut_lineage(members.repartitionByRange(parts, "sig", "node").sortWithinPartitions("sig", "node").mapInArrow(_neighbours, "a long, b long, sig long"))
-    ends = found.where("b is null").select("sig", "a")
-    least = ends.groupBy("sig").agg(F.min("a").alias("m"))
-    across = ends.join(least, "sig").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-    return found.where("b is not null").select("a", "b").unionByName(across).distinct()
+    found = cut_lineage(members.repartitionByRange(parts, "sig", "node").sortWithinPartitions("sig", "node").mapInArrow(_regions, "a long, b long, sig long, tag int"))
+    own = signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min("n_shingles").alias("n"), F.min("profile").alias("p"))
+    one, two = (own.select(F.col("set_hash").alias(x), F.struct("n", "p").alias(f"of_{x}")) for x in ("a", "b"))
+    pairs = found.where("b is not null").select("a", "b").distinct().join(one, "a").join(two, "b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("of_a"), batch.column("of_b")
+            size = a.field("n").to_numpy() + b.field("n").to_numpy()
+            x, y = (np.frombuffer(b"".join(c.field("p").to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int16) for c in (a, b))
+            keep = (100 + percent) * np.abs(x - y).sum(1, dtype=np.int64) <= (100 - percent) * size
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    close = pairs.select("a", "b", "of_a", "of_b").mapInArrow(near, "a long, b long")
+    rows = found.where("b is null").select("sig", F.col("a").alias("node"), "tag")
+    often = rows.groupBy("node", "tag").agg(F.count("*").alias("c")).where(F.col("c") >= F.col("tag").bitwiseAND(F.lit(0xFFFF))).select("node", "tag")
+    stay = cut_lineage(rows.join(often, ["node", "tag"]).select("sig", "node"))
+    least = stay.groupBy("sig").agg(F.min("node").alias("a"))
+    return close.unionByName(stay.join(least, "sig").where("a <> node").select("a", F.col("node").alias("b")).distinct())
 
 
 def metric_links(sets: list[np.ndarray], percent: int) -> list[int]:
@@ -273,9 +322,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     """
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut_lineage(set_sizes(text, n, percent))
+    signed = cut_lineage(set_sizes(text, n))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), text.rdd.getNumPartitions())
-    cluster = cut_lineage(components(candidate_edges(set_signatures(text, n, percent), parts)))
+    cluster = cut_lineage(components(candidate_edges(set_signatures(text, n, percent), parts, signed, percent)))
     release(spark)
     counts = cluster.groupBy("component").agg(F.count("*").alias("rows"))
     sized = cluster.join(counts, "component").select("node", F.col("component").alias("cluster"), "rows")

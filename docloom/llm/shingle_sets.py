@@ -17,8 +17,10 @@ from docloom.llm.textblocks import Words, mix64, sequence_hash
 
 #: Ratio of the bounds of a size band.
 BAND_RATIO = 1.35
-#: Classes beyond those that the differences need: a set with at most so many empty classes emits none of them.
-SPARE = 3
+#: Classes beyond those that the differences need: this share of them, and some.  So many classes agree in linked sets.
+SPARE, MORE = 1 / 6, 3
+#: Numbers of a profile: how many of a set's hashes lie in each equal part of their range.
+PROFILE = 64
 
 
 def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
@@ -47,32 +49,45 @@ def set_hashes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 @lru_cache(maxsize=None)
-def band(size: int, percent: int) -> tuple[int, int, int, int]:
-    """Of the size band that holds ``size``: its number, lower bound, upper bound and number of classes."""
+def band(size: int, percent: int) -> tuple[int, int, int, int, int]:
+    """Of the size band that holds ``size``: its number, lower bound, upper bound, number of classes, and how many of
+    them at least agree in two linked sets."""
     at, low = 0, 1
     while True:
         high = max(low + 1, int(low * BAND_RATIO))
         if size < high:
             # |x ^ y| <= (100 - p) / (100 + p) * (|x| + |y|), with both sets below the upper bound
             differ = (100 - percent) * 2 * (high - 1) // (100 + percent)
-            return at, low, high, differ + 1 + SPARE if differ else 1
+            agree = MORE + int(differ * SPARE) + 1
+            return (at, low, high, differ + agree, agree) if differ else (at, low, high, 1, 1)
         at, low = at + 1, high
 
 
-def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of each set (ascending, distinct hashes): a signed 64-bit hash of the whole set, and its signatures.
+def profiles(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of PROFILE counts (255 at most) per set.  Two sets differ in at least the sum of the counts' differences."""
+    out = np.zeros((len(sets), PROFILE), np.uint8)
+    for i, s in enumerate(sets):
+        out[i] = np.minimum(255, np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PROFILE))
+    return out
+
+
+def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Of each set (ascending, distinct hashes): its hash, its signatures, and a tag for each of these.
 
     A set has the signatures of its band, and those of the band above where a set of that band can still be linked
-    with it.  Two linked sets that differ share at least one signature.  Bands whose linked sets must be equal have
-    no signatures.
+    with it.  Bands whose linked sets must be equal have no signatures.  Empty classes have none, unless a set has more
+    of them than it has classes to spare.  A tag is the band's number times 65536, plus how many of the set's
+    signatures in that band at least are shared by any set linked with it in that band.
     """
     sizes = np.array([len(s) for s in sets])
     every = np.concatenate([*sets, np.empty(0, np.uint64)])
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(every), dtype=np.uint64)])
     whole = set_hashes(sets)
-    own = [band(int(n), percent) if n else (0, 0, 0, 1) for n in sizes]
-    above = [band(b[2], percent) if n and 100 * n >= percent * b[2] else (0, 0, 0, 1) for n, b in zip(sizes, own, strict=True)]
+    none = (0, 0, 0, 1, 1)
+    own = [band(int(n), percent) if n else none for n in sizes]
+    above = [band(b[2], percent) if n and 100 * n >= percent * b[2] else none for n, b in zip(sizes, own, strict=True)]
     out: list[list[np.ndarray]] = [[] for _ in sets]
+    tags: list[list[np.ndarray]] = [[] for _ in sets]
     top = every >> np.uint64(32)
     for held in (own, above):
         k = np.array([b[3] for b in held], np.uint64)
@@ -83,14 +98,17 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, list[n
         end = np.append(start[1:], len(every))
         sig = mix64(mix64(total[end] - total[start] + (end - start).astype(np.uint64)) + (which[start] << np.uint64(32)) + code[row[start]])
         cut = np.searchsorted(row[start], np.arange(len(sets) + 1))
-        for i, classes in enumerate(k):
-            if classes > 1:
+        for i, b in enumerate(held):
+            if b[3] > 1:
                 mine = sig[cut[i] : cut[i + 1]]
+                slack = b[4] - (b[3] - len(mine))
+                if slack < 1:  # rare: its empty classes count too
+                    empty = np.setdiff1d(np.arange(b[3], dtype=np.uint64), which[start[cut[i] : cut[i + 1]]])
+                    mine = np.concatenate([mine, mix64(mix64(np.zeros(len(empty), np.uint64)) + (empty << np.uint64(32)) + code[i])])
+                    slack = b[4]
                 out[i].append(mine)
-                if len(mine) + SPARE < classes:  # rare: its empty classes count too
-                    empty = np.setdiff1d(np.arange(classes, dtype=np.uint64), which[start[cut[i] : cut[i + 1]]])
-                    out[i].append(mix64(mix64(np.zeros(len(empty), np.uint64)) + (empty << np.uint64(32)) + code[i]))
-    return whole, [np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in out]
+                tags[i].append(np.full(len(mine), b[0] << 16 | slack, np.int32))
+    return whole, [np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in out], [np.concatenate(x) if x else np.empty(0, np.int32) for x in tags]
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
