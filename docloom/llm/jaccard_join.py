@@ -28,6 +28,8 @@ from docloom.sources.tables import KeptTable, cut_lineage, release
 
 #: Sets of a region up to which its pairs are candidates.
 PAIRS_ROWS = 12
+#: Sets of a larger region that are compared by profile in one block.
+BLOCK_ROWS = 2048
 #: Documents of a cluster that one task joins.
 CLUSTER_ROWS = 100
 #: Documents of a region below which all its pairs are compared.
@@ -119,7 +121,7 @@ def candidate_edges(members: DataFrame, parts: int, signed: DataFrame, percent:
     partitions.  The pairs of small regions are kept where profiles allow a link: by the triangle inequality sets differ
     at least as much as their numbers of shingles in each part of the hash range do.  A large region is passed over by
     sets that are in fewer large regions than any set linked with them shares regions with them; such links show in a
-    small region.  The others are linked with the region's smallest set.
+    small region.  The others are compared by profile in blocks; what their blocks hang together is linked across blocks.
     """
     found = cut_lineage(members.repartitionByRange(parts, "sig", "node").sortWithinPartitions("sig", "node").mapInArrow(_regions, "a long, b long, sig long, tag int"))
     own = signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min("n_shingles").alias("n"), F.min("profile").alias("p"))
@@ -137,9 +139,41 @@ def candidate_edges(members: DataFrame, parts: int, signed: DataFrame, percent:
     close = pairs.select("a", "b", "of_a", "of_b").mapInArrow(near, "a long, b long")
     rows = found.where("b is null").select("sig", F.col("a").alias("node"), "tag")
     often = rows.groupBy("node", "tag").agg(F.count("*").alias("c")).where(F.col("c") >= F.col("tag").bitwiseAND(F.lit(0xFFFF))).select("node", "tag")
-    stay = cut_lineage(rows.join(often, ["node", "tag"]).select("sig", "node"))
-    least = stay.groupBy("sig").agg(F.min("node").alias("a"))
-    return close.unionByName(stay.join(least, "sig").where("a <> node").select("a", F.col("node").alias("b")).distinct())
+    stay = rows.join(often, ["node", "tag"]).select("sig", "node").distinct()
+    sizes = stay.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("m"))
+    block = F.pmod(F.xxhash64("node"), F.col("m"))
+    dealt = stay.join(sizes, "sig").select("sig", "node", "m", block.alias("block")).join(own.withColumnRenamed("set_hash", "node"), "node")
+    held = cut_lineage(dealt.groupBy("sig", "block").applyInArrow(_close_in_block(percent), "a long, b long, sig long"))
+    ends = held.where("b is null").select("sig", "a")
+    least = ends.groupBy("sig").agg(F.min("a").alias("m"))
+    across = ends.join(least, "sig").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    return close.unionByName(held.where("b is not null").select("a", "b")).unionByName(across).distinct()
+
+
+def _close_in_block(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """Edges that hang together the sets of a block whose profiles allow a link; where the region has several blocks, also
+    one set (with b null) of each part of the block, for what may link it with other blocks."""
+
+    def run(block: pa.Table) -> pa.Table:
+        rows = block.sort_by("node")
+        node, n = rows["node"].to_numpy(), rows["n"].to_numpy()
+        profile = np.frombuffer(b"".join(rows["p"].to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int16)
+        part = np.arange(len(node))
+        edges: list[tuple[int, int | None]] = []
+        for i in range(len(node) - 1):
+            differ = np.abs(profile[i + 1 :] - profile[i]).sum(1, dtype=np.int64)
+            hit = i + 1 + np.flatnonzero((100 + percent) * differ <= (100 - percent) * (n[i] + n[i + 1 :]))
+            parts, at = np.unique(part[hit], return_index=True)
+            for p, j in zip(parts, hit[at], strict=True):
+                if p != part[i]:
+                    edges.append((node[i], node[j]))
+            part[np.isin(part, parts)] = part[i]
+        if rows["m"][0].as_py() > 1:
+            edges += [(node[i], None) for i in np.unique(part, return_index=True)[1]]
+        sig = rows["sig"][0].as_py()
+        return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64()), "sig": pa.array([sig] * len(edges), pa.int64())})
+
+    return run
 
 
 def metric_links(sets: list[np.ndarray], percent: int) -> list[int]:

@@ -69,6 +69,7 @@ def test_join_is_brute_force(spark, monkeypatch, n, percent):
     monkeypatch.setattr(jaccard_join, "CLUSTER_ROWS", 12)
     monkeypatch.setattr(jaccard_join, "REGION_ROWS", 3)
     monkeypatch.setattr(jaccard_join, "PAIRS_ROWS", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 6)
     r = random.Random(11)
     texts = list(AWKWARD)
     for size in (9, 15, 40, 120, 300):
