@@ -423,6 +423,20 @@ def test_spans_are_brute_force(spark):
     assert any(s.kind == "github" for s in found[len(AWKWARD) + 5].spans) and any(s.kind == "pem" for s in found[len(AWKWARD) + 9].spans)
 
 
+def test_span_digests_of_the_query(spark):
+    from docloom.llm.catalogue import op6_secrets
+
+    where = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in op6_secrets(spark, where).collect()}
+    kinds = ["assign", "access", "hex"]
+    for d in spark.read.parquet(f"{where}/documents.parquet").collect():
+        spans = base_spans(d.text or "")
+        counts = Counter(k for _, k, _ in spans)
+        r = got[d.doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex) == (counts[0], counts[1], counts[2])
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+
+
 def satisfied(query, text):
     if query is None:
         return True
