@@ -9,6 +9,7 @@ lowest estimate wins.  Parsing steps many segments of texts at once through the
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,39 +22,59 @@ from pyspark.sql import functions as F
 TRAIN_CHARS, MOST_LANGUAGES = 40_000, 64
 #: Documents per language that are read for it, at most about.
 TRAIN_DOCS = 60
-#: Letters that have a symbol of their own; all others share one that matches nothing.
-SYMBOLS = 62
+#: Symbols of a language, the most frequent ones, whose transitions are columns of a table; those of all others are searched for.
+COLUMNS = 62
 #: Parsing starts anew after so many symbols, so that long texts are many segments.
 SEGMENT = 512
 #: No language: a null text, or one without a letter.
 UNKNOWN = "und"
 
-_LETTER = np.array([chr(c).isalpha() for c in range(1 << 16)])
-_FOLDED = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 1 << 16 else c for c in range(1 << 16)], np.uint32)
-
-
-def _points(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(points < 1 << 16, points, np.uint32(0xFFFF))
+_LETTER = np.array([chr(c).isalpha() for c in range(sys.maxunicode + 1)])
+_FOLDED = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+for _c in np.flatnonzero(_LETTER).tolist():
+    if len(_lower := chr(_c).lower()) == 1:
+        _FOLDED[_c] = ord(_lower)
 
 
 def normal(text: str) -> tuple[np.ndarray, bool]:
-    """The text's lower-cased letters as code points, runs of anything else as one space; whether it has a letter.
-
-    Code points beyond the first plane are letters of no known symbol where Python says they are letters.
-    """
-    points = _points(text)
+    """The text's lower-cased letters as code points, runs of anything else as one space; whether it has a letter."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _LETTER[points]
-    if len(points) and (points == 0xFFFF).any():
-        letter = letter | np.array([c.isalpha() for c in text])
     if not letter.any():
         return np.empty(0, np.uint32), False
     keep = letter | np.concatenate([[True], letter[:-1]])
     return np.where(letter, _FOLDED[points], np.uint32(32))[keep], True
 
 
-def suffix_automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
-    """The transition table (state x symbol, -1: none) of the automaton of all substrings of ``symbols``."""
+@dataclass
+class Automaton:
+    """Transitions (-1: none) of the automaton of all substrings of a text of ``size`` symbols' alphabet.
+
+    Those of the first symbols are in ``table`` (state x symbol); the others are ``targets`` of sorted ``keys``, state *
+    ``size`` + symbol, of which the last is larger than any.  ``start`` has the root's for all symbols.
+    """
+
+    size: int
+    table: np.ndarray
+    keys: np.ndarray
+    targets: np.ndarray
+    start: np.ndarray
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Where symbol ``c`` leads from each state."""
+        width, flat = self.table.shape[1], self.table.ravel()
+        if self.size == width:
+            return flat[state * width + c]
+        rare = np.flatnonzero(c >= width)
+        to = flat[state * width + np.where(c < width, c, 0)]
+        key = state[rare].astype(np.int64) * self.size + c[rare]
+        at = np.searchsorted(self.keys, key)
+        to[rare] = np.where(self.keys[at] == key, self.targets[at], -1)
+        return to
+
+
+def suffix_automaton(symbols: np.ndarray, size: int) -> Automaton:
+    """The automaton of all substrings of ``symbols`` that do not hold symbol 0, which stands between texts."""
     link, length, go = [-1], [0], [{}]
     last = 0
     for c in symbols.tolist():
@@ -79,20 +100,31 @@ def suffix_automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = copy
         last = now
-    table = np.full((len(go), alphabet), -1, np.int32)
+    width = min(size, COLUMNS + 1)
+    table, rare = np.full((len(go), width), -1, np.int32), []
     for state, edges in enumerate(go):
         for c, to in edges.items():
-            table[state, c] = to
-    return table
+            if c >= width:
+                rare.append((state * size + c, to))
+            elif c:  # no match crosses from text to text
+                table[state, c] = to
+    pairs = np.array([*sorted(rare), (len(go) * size, -1)], np.int64)
+    start = np.full(size, -1, np.int32)
+    start[:width] = table[0]
+    root = pairs[pairs[:, 0] < size]
+    start[root[:, 0]] = root[:, 1]
+    return Automaton(size, table, pairs[:, 0].copy(), pairs[:, 1].astype(np.int32), start)
 
 
 @dataclass
 class Model:
-    """Languages, the symbol of each code point (0: none), and per language the automaton and the bits of a phrase."""
+    """Languages, the number of each code point (0: in no language), and per language the symbol of each number (0: not
+    in it), the automaton and the bits of a phrase."""
 
     languages: list[str]
-    symbol: np.ndarray
-    tables: list[np.ndarray]
+    number: np.ndarray
+    symbols: list[np.ndarray]
+    automata: list[Automaton]
     bits: list[float]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -101,24 +133,22 @@ class Model:
         pieces.sort(key=lambda x: -len(x[1]))
         owner = np.array([i for i, _ in pieces], np.int64)
         size = np.array([len(t) for _, t in pieces])
-        out = np.zeros((len(texts), len(self.tables)), np.int64)
+        out = np.zeros((len(texts), len(self.automata)), np.int64)
         if not len(pieces):
             return out
-        grid = np.zeros((int(size[0]), len(pieces)), np.uint8)
+        grid = np.zeros((int(size[0]), len(pieces)), self.number.dtype)
         for j, (_, t) in enumerate(pieces):
-            grid[: len(t), j] = self.symbol[t]
+            grid[: len(t), j] = self.number[t]
         open_ = [int(np.searchsorted(-size, -at, "left")) for at in range(int(size[0]))]  # segments longer than at
-        for k, table in enumerate(self.tables):
-            width, flat = table.shape[1], table.ravel()
-            start = table[0]
+        for k, (symbol, automaton) in enumerate(zip(self.symbols, self.automata, strict=True)):
             state, count = np.zeros(len(pieces), np.int32), np.zeros(len(pieces), np.int64)
             for at, n in enumerate(open_):
-                c = grid[at, :n]
-                to = flat[state[:n] * width + c]
+                c = symbol[grid[at, :n]]
+                to = automaton.step(state[:n], c)
                 ended = to < 0
                 count[:n] += ended | (state[:n] == 0)  # a phrase begins where one ended; a symbol that occurs nowhere is one
                 broken = np.flatnonzero(ended)
-                to[broken] = np.maximum(start[c[broken]], 0)
+                to[broken] = np.maximum(automaton.start[c[broken]], 0)
                 state[:n] = to
             out[:, k] = np.bincount(owner, count, len(texts)).astype(np.int64)
         return out
@@ -145,20 +175,20 @@ def fit(samples: dict[str, list[str]]) -> Model:
             if ok and (len(points) <= room or room == TRAIN_CHARS):
                 held.setdefault(language, []).append(points)
                 room -= len(points)
-    every = np.concatenate([np.concatenate(x) for x in held.values()])
-    points, times = np.unique(every, return_counts=True)
-    symbol = np.zeros(1 << 16, np.uint8)
-    chosen = points[np.lexsort((points, -times))][:SYMBOLS]
-    symbol[chosen] = np.arange(1, len(chosen) + 1)
-    tables, bits = [], []
+    every = np.unique(np.concatenate([p for parts in held.values() for p in parts]))
+    number = np.zeros(sys.maxunicode + 1, np.uint16 if len(every) < 1 << 16 else np.uint32)
+    number[every] = np.arange(1, len(every) + 1)
+    symbols, automata, bits = [], [], []
     for parts in held.values():
-        # symbol 0 stands between texts, and is taken out again so that no match crosses
-        joined = np.concatenate([np.concatenate([symbol[p], np.zeros(1, np.uint8)]) for p in parts])
-        table = suffix_automaton(joined, len(chosen) + 1)
-        table[:, 0] = -1
-        tables.append(table)
+        # every letter of the language's text has a symbol, the more frequent the smaller
+        points, times = np.unique(np.concatenate(parts), return_counts=True)
+        symbol = np.zeros(len(every) + 1, np.int32)
+        symbol[number[points[np.lexsort((points, -times))]]] = np.arange(1, len(points) + 1)
+        joined = np.concatenate([np.concatenate([symbol[number[p]], np.zeros(1, np.int32)]) for p in parts])
+        symbols.append(symbol)
+        automata.append(suffix_automaton(joined, len(points) + 1))
         bits.append(math.log2(len(joined) + 1))
-    return Model(list(held), symbol, tables, bits)
+    return Model(list(held), number, symbols, automata, bits)
 
 
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", seed: int = 29) -> Model | None:
@@ -191,7 +221,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     docs = docs.drop("lang_pred", "lang_score")
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "lang_score": F.lit(0.0)})
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # languages * 2 * TRAIN_CHARS states * (SYMBOLS + 1) * 4 bytes at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # languages * 2 * TRAIN_CHARS states * (COLUMNS + 1) * 4 bytes at most, and a few megabytes each for other symbols
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def guess(texts: pa.Array) -> pa.Array:

@@ -162,6 +162,24 @@ def test_language_and_awkward_texts(spark):
     assert language.identify(docs.limit(0), model).count() == 0
 
 
+def test_letters_of_many_scripts_have_symbols(spark, monkeypatch):
+    r = random.Random(11)
+    scripts = {"ar": (0x627, 28), "el": (0x3B1, 24), "en": (97, 26), "ff": (0x1E922, 34), "got": (0x10330, 26), "ja": (0x3041, 80), "ru": (0x430, 32), "zh": (0x4E00, 900), "zz": (0x5000, 900)}
+    words = {k: ["".join(chr(r.randrange(a, a + n)) for _ in range(r.randint(1, 4))) for _ in range(300)] for k, (a, n) in scripts.items()}
+    texts = {k: [" ".join(r.choice(w) for _ in range(r.randint(20, 60) + 20 * at)) for _ in range(15)] for at, (k, w) in enumerate(words.items())}
+    rows = [(i, text, k, "s", 0) for i, (k, text) in enumerate((k, t) for k, ts in texts.items() for t in ts)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language.train(docs.where("doc_id % 5 <> 0"))
+    assert {x.doc_id for x in language.identify(docs, model).collect() if x.lang_pred != x.lang} == set()
+    monkeypatch.setattr(language, "SEGMENT", 50)
+    model = language.fit({k: t[:1] for k, t in texts.items()})
+    for text in (texts["zh"][1], texts["got"][1], " ".join(t[2][:40] for t in texts.values())):
+        normal, _ = language.normal(text)
+        parts = ["".join(map(chr, normal[a : a + 50])) for a in range(0, len(normal), 50)]
+        trained = ["".join(map(chr, language.normal(texts[k][0])[0])) for k in model.languages]
+        assert model.phrases([normal])[0].tolist() == [sum(brute_phrases(p, t) for p in parts) for t in trained]
+
+
 # --- quality and toxicity ------------------------------------------------------------------------------------------
 
 
