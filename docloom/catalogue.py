@@ -488,6 +488,42 @@ def classify_two_methods(spark: SparkSession, d: str) -> DataFrame:
     return scoring.flags(ranks).join(top, "doc_id")
 
 
+def _ranked_all(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks over all documents and classes; where no vector is given, there is no semantic score."""
+    vectors = _vectors(spark, d)
+    semantic = scoring.embedding_scores(vectors, scoring.centroids(vectors))
+    return scoring.ranked(scoring.tfidf_scores(table(spark, d, "documents"), _class_docs(spark, d)).join(semantic, ["doc_id", "class_idx"], "left"))
+
+
+FLAGS_ALL_SQL = f"""with {EMBEDDING_SQL}, {_tfidf_sql(2)}, scored as (select doc_id, class_idx, match_score, tfidf_similarity from tfidf left join sem using (doc_id, class_idx)),
+rk as (select *, case when match_score is not null then row_number() over (partition by doc_id order by match_score desc nulls last, class_idx desc) end as rs, row_number() over (partition by doc_id order by tfidf_similarity desc, class_idx desc) as rt from scored),
+fl as (select doc_id, max(class_idx) filter (rs = 1) as semantic_top1, max(class_idx) filter (rt = 1) as tfidf_top1, case when count(match_score) > 0 then
+  coalesce(max(match_score) filter (rs = 1) - max(match_score) filter (rs = 2), 1.0) end as gap, coalesce(max(tfidf_similarity) filter (rt = 1) - max(tfidf_similarity) filter (rt = 2), 0.0) as tgap from rk group by 1),
+fo as (select doc_id, semantic_top1, tfidf_top1, round(gap, 4) as ambiguous_gap, gap < 0.02 as ambiguous, semantic_top1 <> tfidf_top1 as discrepancy,
+  case when semantic_top1 <> tfidf_top1 and tgap >= 0.02 then tfidf_top1 end as tfidf_alternative from fl)"""
+
+
+@query(f"{FLAGS_ALL_SQL} select {FLAG_COLUMNS_SQL} from fo")
+def tfidf_topk_flags_all(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.flags(_ranked_all(spark, d))
+
+
+@query(f"{FLAGS_ALL_SQL} select doc_id, class_idx, rs::int as rank_semantic, rt::int as rank_tfidf from rk")
+def class_ranks_all(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked_all(spark, d).select("doc_id", "class_idx", "rank_semantic", "rank_tfidf")
+
+
+@query(
+    f"""{FLAGS_ALL_SQL}, pl as (select doc_id, class_idx, row_number() over (partition by doc_id order by round(match_score, 4) desc, class_idx) as place from rk where match_score is not null),
+tp as (select doc_id, string_agg(place || ':' || class_idx, ',' order by place) as top3 from pl where place <= 3 group by 1)
+select {FLAG_COLUMNS_SQL}, top3 from fo left join tp using (doc_id)"""
+)
+def classify_two_methods_all(spark: SparkSession, d: str) -> DataFrame:
+    ranks = _ranked_all(spark, d)
+    top = scoring.top_classes(ranks.where("match_score is not null")).select("doc_id", F.array_join(F.transform("top3", lambda s: F.concat_ws(":", s["rank"].cast("string"), s["class_idx"].cast("string"))), ",").alias("top3"))
+    return scoring.flags(ranks).join(top, "doc_id", "left")
+
+
 # --- clusters and topics -------------------------------------------------------------------------------------------
 
 SILHOUETTE_SQL = f"""with {EMBEDDING_SQL}, sm as (select label, i, sum(x) as x from (select label, unnest(e) as x, unnest(range(len(e))) as i from un) group by 1, 2),

@@ -90,20 +90,24 @@ def centroids(vectors: DataFrame, label: str = "label", vector: str = "embedding
 
 
 def ranked(scores: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Scores with ``rank_semantic`` and ``rank_tfidf``, from 1; of equal scores the later class comes first."""
+    """Scores with ``rank_semantic`` and ``rank_tfidf``, from 1; of equal scores the later class comes first.  A class
+    without a score by a method has no rank by it."""
     def rank(c: str) -> Column:
-        return F.row_number().over(Window.partitionBy(key).orderBy(F.desc(c), F.desc("class_idx")))
+        return F.when(F.col(c).isNotNull(), F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last(c), F.desc("class_idx"))))
 
     return scores.withColumns({"rank_semantic": rank("match_score"), "rank_tfidf": rank("tfidf_similarity")})
 
 
 def flags(ranks: DataFrame, s: Settings | None = None, key: str = "doc_id") -> DataFrame:
-    """One row per document: top classes of both methods, gaps, ambiguity, disagreement, alternative, and message."""
+    """One row per document: top classes of both methods, gaps, ambiguity, disagreement, alternative, and message.
+
+    Of a document without semantic scores what depends on them is null.
+    """
     s = s or Settings()
     at = lambda rank, c, k: F.max(F.when(F.col(rank) == k, F.col(c)))
     one = ranks.groupBy(key).agg(
         at("rank_semantic", "class_idx", 1).alias("semantic_top1"), at("rank_tfidf", "class_idx", 1).alias("tfidf_top1"),
-        F.coalesce(at("rank_semantic", "match_score", 1) - at("rank_semantic", "match_score", 2), F.lit(1.0)).alias("ambiguous_gap"),
+        F.when(at("rank_semantic", "match_score", 1).isNotNull(), F.coalesce(at("rank_semantic", "match_score", 1) - at("rank_semantic", "match_score", 2), F.lit(1.0))).alias("ambiguous_gap"),
         F.coalesce(at("rank_tfidf", "tfidf_similarity", 1) - at("rank_tfidf", "tfidf_similarity", 2), F.lit(0.0)).alias("tfidf_gap"),
     )
     ambiguous, differs = F.col("ambiguous_gap") < s.ambiguous_gap, F.col("semantic_top1") != F.col("tfidf_top1")
