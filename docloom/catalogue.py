@@ -560,12 +560,16 @@ def topic_shares(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.kmeans(table(spark, d, "embeddings"), 10).select("vec_id", "cluster")
+    return clusters.kmeans(table(spark, d, "embeddings"), 10, starts=20).select("vec_id", "cluster")
 
 
 @query()
 def k_selection(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(clusters.k_scores(table(spark, d, "embeddings"), (5, 10, 15, 20)), "k int, silhouette double")
+    """The whole grid with 20 starts each, and which number of clusters is chosen: the best, the smallest of equals."""
+    vectors = table(spark, d, "embeddings")
+    scores = clusters.k_scores(vectors, V.k_range(5, 50, vectors.count()), starts=20)
+    best = max(scores, key=lambda x: (x[1], -x[0]))
+    return spark.createDataFrame([(k, value, k == best[0]) for k, value in scores], "k int, silhouette double, chosen boolean")
 
 
 @query()
@@ -592,6 +596,28 @@ def lda_coherence(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(_topic_model(spark, d).coherences, "k int, coherence double")
 
 
+def _grid_model(spark: SparkSession, d: str) -> tuple[topics.TopicModel, DataFrame]:
+    """The model of the whole grid of topic counts, and the documents with phrases joined that it is fitted on."""
+    docs = phrases.mined(_tokens(spark, d), "doc_id").persist()
+    return topics.fit(docs), docs
+
+
+@query()
+def lda_grid_topics(spark: SparkSession, d: str) -> DataFrame:
+    return _grid_model(spark, d)[0].keywords()
+
+
+@query()
+def lda_grid_dominant_topic(spark: SparkSession, d: str) -> DataFrame:
+    model, docs = _grid_model(spark, d)
+    return topics.dominant_topics(model, docs, "doc_id")
+
+
+@query()
+def lda_grid_coherence(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(_grid_model(spark, d)[0].coherences, "k int, coherence double")
+
+
 # --- contents and articles -----------------------------------------------------------------------------------------
 
 CONTENTS = (

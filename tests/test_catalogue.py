@@ -73,6 +73,32 @@ def test_documents_and_classes_without_vectors(spark, duck, tmp_path):
     assert comparable(df.columns, rows) == comparable([c[0] for c in cursor.description], cursor.fetchall())
 
 
+def test_models_take_the_whole_grids(spark, monkeypatch):
+    from docloom import catalogue
+
+    asked = []
+
+    def scores(df, ks, vector="embedding", starts=1, seed=42):
+        asked.append((list(ks), starts))
+        return [(k, -abs(k - 30.5)) for k in ks]
+
+    def labels(df, k, vector="embedding", starts=3, seed=42):
+        asked.append((k, starts))
+        return df.withColumn("cluster", df["label"])
+
+    def fit(docs, **given):
+        asked.append((docs.where("exists(tokens, w -> w like '%\\\\_%')").count() > 0, given))
+        return catalogue.topics.TopicModel(None, None, [(4, 0.5), (5, 0.4)], 0)
+
+    monkeypatch.setattr(catalogue.clusters, "k_scores", scores)
+    monkeypatch.setattr(catalogue.clusters, "kmeans", labels)
+    monkeypatch.setattr(catalogue.topics, "fit", fit)
+    assert [r.k for r in QUERIES["k_selection"](spark, TABLES).collect() if r.chosen] == [30]
+    QUERIES["kmeans_labels"](spark, TABLES)
+    assert QUERIES["lda_grid_coherence"](spark, TABLES).count() == 2
+    assert asked == [(list(range(5, 51)), 20), (10, 20), (True, {})]
+
+
 def test_fitted_models(spark):
     labels = QUERIES["kmeans_labels"](spark, TABLES).select("cluster").distinct().count()
     assert labels == 10
