@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -31,6 +32,14 @@ def _checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def joined_to_small(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """The inner join of ``rows`` with narrow rows already computed: these are counted and sent to all tasks where they are
+    few enough for that; if not, both sides are shuffled."""
+    width = sum(16 if f.dataType.typeName() in ("long", "integer", "double") else 1 << 20 for f in few.schema.fields)
+    most = rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return rows.join(F.broadcast(few) if few.count() * width <= most else few, key)
+
+
 class KeptTable:
     """Rows written to the checkpoint folder as Parquet, for wide rows that are read more than once; to be dropped."""
 
