@@ -1,5 +1,7 @@
 """Exact Jaccard self-join of documents over word shingles, in a metric space of sets.
 
+Alone.  Most sets have more shingles that no other set has than a link allows; they are linked with nothing and go first.
+
 Regions.  A pivot is the set signature of :mod:`docloom.llm.shingle_sets`; a document lies in the regions of its own
 signatures, and the triangle inequality (measured from the empty set) says which size band's regions it must be
 replicated into.  Documents of one region that differ are linked as candidates; what hangs together is a cluster, and
@@ -7,9 +9,9 @@ no link joins two clusters.
 
 Within a cluster.  A small cluster is joined recursively in one task: document pivots, every other document goes to
 the Voronoi region of its nearest pivot and, as a replica, to each region whose pivot is not farther than that by more
-than twice the radius; regions shrink until all pairs are cheap.  A cluster too large for one task is joined as a
-table: each document's rarest shingles within the cluster (enough of them that linked documents share one) are
-matched, and the matched pairs are verified.  Both ways are exact; neither caps or drops anything.
+than twice the radius; regions shrink until all pairs are cheap.  A cluster too large for one task is joined
+around one pivot, its sets' majority, in rings that the triangle inequality leaves, block by block.  Both ways are
+exact; neither caps or drops anything.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.components import components
-from docloom.llm.shingle_sets import PROFILE, profiles, set_hashes, shingle_sets, signatures
+from docloom.llm.shingle_sets import least_hashes, occurrences, profile_gaps, profiles, set_hashes, shingle_sets, signatures
 from docloom.llm.textblocks import Words, blocks
-from docloom.sources.tables import KeptTable, cut_lineage, release
+from docloom.sources.tables import KeptTable, cut_lineage, joined_to_small, release
 
 #: Sets of a region up to which its pairs are candidates.
 PAIRS_ROWS = 12
@@ -36,35 +38,95 @@ CLUSTER_ROWS = 100
 REGION_ROWS = 12
 
 
-def set_sizes(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, n_shingles, set_hash, profile`` of each row of ``doc_id, text``, from its whole text."""
+def _of_texts(rows: DataFrame, n: int, schema: str, made: Callable[[pa.RecordBatch, list[np.ndarray]], list]) -> DataFrame:
+    """The columns that ``made`` gives for a block of rows (whose last column is the text) and their shingle sets."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in blocks(batch.column(1)):
-                sets = shingle_sets(Words(texts), n)
-                flat = pa.array([p.tobytes() for p in profiles(sets)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_hashes(sets)), flat], ["doc_id", "n_shingles", "set_hash", "profile"])
+            for first, texts in blocks(batch.column(batch.num_columns - 1)):
+                columns = made(batch.slice(first, len(texts)), shingle_sets(Words(texts), n))
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+
+    return rows.mapInArrow(run, schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash long, profile binary")
 
+def set_sizes(docs: DataFrame, n: int) -> DataFrame:
+    """``doc_id, n_shingles, set_hash`` of each row of ``doc_id, text``, from its whole text."""
+    return _of_texts(docs, n, "doc_id long, n_shingles long, set_hash long", lambda batch, sets: [batch.column(0), np.array([len(s) for s in sets], np.int64), set_hashes(sets)])
+
+
+def _distinct(sets: list[np.ndarray]) -> list[int]:
+    return np.unique(set_hashes(sets), return_index=True)[1].tolist()
 
-def set_signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``sig, node, tag`` of each row of ``doc_id, text``: the signatures of its set, the set's hash, and their tags.
 
-    Within a block of texts equal sets count once, so copies don't swell the rows.
+def _lonely(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``node``: sets (hashes) of ``doc_id, text`` with more shingles of their own than a link allows.
+
+    Within a block of texts equal sets count once, and a shingle of many sets is one row.
     """
 
+    def made(_: pa.RecordBatch, sets: list[np.ndarray]) -> list:
+        return list(occurrences([sets[i] for i in _distinct(sets)], percent))
+
+    seen = _of_texts(docs.where("doc_id is not null"), n, "shingle long, least long, most long, spare long", made)
+    own = seen.groupBy("shingle").agg(F.min("least").alias("node"), F.max("most").alias("most"), F.max("spare").alias("spare")).where("node = most and spare >= 0")
+    return own.groupBy("node", "spare").agg(F.count("*").alias("c")).where("c > spare").select("node")
+
+
+def _stars(shapes: DataFrame, percent: int) -> DataFrame:
+    """Edges ``a, b``: each set with pivots that have one of its smallest hashes, where their profiles allow a link."""
+    of = shapes.select("node", "n", "profile", F.explode("least").alias("h"))
+    pivots = of.groupBy("h").agg(F.min(F.struct("node", "n", "profile")).alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c")
+    pairs = of.join(pivots, "h").where("node <> pivot.node").select(F.col("pivot.node").alias("a"), F.col("node").alias("b"), F.col("pivot").alias("of_a"), F.struct("n", "profile").alias("of_b"))
+    return _near(pairs, percent).distinct()
+
+
+def _near(pairs: DataFrame, percent: int) -> DataFrame:
+    """The ``a, b`` of ``a, b, of_a, of_b`` whose profiles allow a link: by the triangle inequality sets differ at least as
+    much as their numbers of shingles in each part of the hash range do."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in blocks(batch.column(1)):
-                sets = shingle_sets(Words(texts), n)
-                once = np.unique(set_hashes(sets), return_index=True)[1]
-                whole, sigs, tags = signatures([sets[i] for i in once], percent)
-                columns = [np.concatenate([*sigs, np.empty(0, np.int64)]), np.repeat(whole, [len(x) for x in sigs]), np.concatenate([*tags, np.empty(0, np.int32)])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "node", "tag"])
+            a, b = batch.column("of_a"), batch.column("of_b")
+            size = a.field("n").to_numpy() + b.field("n").to_numpy()
+            keep = (100 + percent) * profile_gaps(*(c.field("profile").to_pylist() for c in (a, b))) <= (100 - percent) * size
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    return pairs.mapInArrow(run, "a long, b long")
 
-    return docs.where("doc_id is not null").mapInArrow(run, "sig long, node long, tag int")
+
+def _signatures_of(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """``sig, node, part, tag`` of rows ``node, part, text``: the signatures of each set and their tags."""
+
+    def made(batch: pa.RecordBatch, sets: list[np.ndarray]) -> list:
+        node, sigs, tags = signatures(sets, percent)
+        many = [len(x) for x in sigs]
+        part = np.repeat(batch.column(1).to_numpy(), many)
+        return [np.concatenate([*sigs, np.empty(0, np.int64)]), np.repeat(node, many), part, np.concatenate([*tags, np.empty(0, np.int32)])]
+
+    return _of_texts(rows, n, "sig long, node long, part long, tag int", made)
+
+
+def clusters_of(held: DataFrame, n: int, percent: int, parts: int) -> DataFrame:
+    """``node, component`` of the sets ``node, text`` that may be linked with another: no link joins two components.
+
+    First every set is hung to pivots that it is likely near to.  Then the signatures of all sets are compared; only those
+    that several of the parts so made have in common go on.
+    """
+    shapes = _of_texts(held.select("node", "text"), n, "node long, n long, profile binary, least array<long>", lambda batch, sets: [
+        batch.column(0), np.array([len(s) for s in sets], np.int64), pa.array([p.tobytes() for p in profiles(sets)], pa.binary()), pa.array(list(least_hashes(sets)), pa.list_(pa.int64()))])
+    shapes = cut_lineage(shapes)
+    stars = cut_lineage(_stars(shapes, percent))
+    part = components(stars).select("node", F.col("component").alias("part"))
+    placed = cut_lineage(shapes.select("node").join(part, "node", "left").select("node", F.coalesce("part", "node").alias("part")))
+    release(held.sparkSession)
+    signed = _signatures_of(joined_to_small(held, placed, "node").select("node", "part", "text"), n, percent)
+    shared = cut_lineage(signed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("sig"))
+    members = cut_lineage(joined_to_small(signed, shared, "sig").select("sig", "node", "tag"))
+    release(held.sparkSession)
+    edges = candidate_edges(members, parts, shapes.select("node", "n", "profile").join(placed, "node"), percent)
+    return components(stars.unionByName(edges))
 
 
 _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sig", pa.int64()), ("tag", pa.int32())])
@@ -114,35 +176,27 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(*held)
 
 
-def candidate_edges(members: DataFrame, parts: int, signed: DataFrame, percent: int) -> DataFrame:
+def candidate_edges(members: DataFrame, parts: int, shapes: DataFrame, percent: int) -> DataFrame:
     """Edges ``a, b`` that hang together all sets that may be linked, from rows ``sig, node, tag``.
 
     The rows are sorted over all partitions by signature and set, so that a signature of very many sets spreads over
-    partitions.  The pairs of small regions are kept where profiles allow a link: by the triangle inequality sets differ
-    at least as much as their numbers of shingles in each part of the hash range do.  A large region is passed over by
-    sets that are in fewer large regions than any set linked with them shares regions with them; such links show in a
-    small region.  The others are compared by profile in blocks; what their blocks hang together is linked across blocks.
+    partitions.  The pairs of small regions are kept where profiles (of ``shapes``: node, n, profile, part) allow a link.
+    A large region is passed over by sets that are in fewer large regions than any set linked with them shares regions
+    with them; such links show in a small region.  The others are compared by profile in blocks; what their blocks hang
+    together is linked across blocks.  Of regions with the same sets one is compared, and sets of one part never are.
     """
     found = cut_lineage(members.repartitionByRange(parts, "sig", "node").sortWithinPartitions("sig", "node").mapInArrow(_regions, "a long, b long, sig long, tag int"))
-    own = signed.where("n_shingles > 0").groupBy("set_hash").agg(F.min("n_shingles").alias("n"), F.min("profile").alias("p"))
-    one, two = (own.select(F.col("set_hash").alias(x), F.struct("n", "p").alias(f"of_{x}")) for x in ("a", "b"))
-    pairs = found.where("b is not null").select("a", "b").distinct().join(one, "a").join(two, "b")
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("of_a"), batch.column("of_b")
-            size = a.field("n").to_numpy() + b.field("n").to_numpy()
-            x, y = (np.frombuffer(b"".join(c.field("p").to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int16) for c in (a, b))
-            keep = (100 + percent) * np.abs(x - y).sum(1, dtype=np.int64) <= (100 - percent) * size
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
-
-    close = pairs.select("a", "b", "of_a", "of_b").mapInArrow(near, "a long, b long")
+    one, two = (shapes.select(F.col("node").alias(x), F.struct("n", "profile", "part").alias(f"of_{x}")) for x in ("a", "b"))
+    pairs = found.where("b is not null").select("a", "b").distinct().join(one, "a").join(two, "b").where("of_a.part <> of_b.part")
+    close = _near(pairs.select("a", "b", "of_a", "of_b"), percent)
     rows = found.where("b is null").select("sig", F.col("a").alias("node"), "tag")
     often = rows.groupBy("node", "tag").agg(F.count("*").alias("c")).where(F.col("c") >= F.col("tag").bitwiseAND(F.lit(0xFFFF))).select("node", "tag")
     stay = rows.join(often, ["node", "tag"]).select("sig", "node").distinct()
-    sizes = stay.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("m"))
+    stay = cut_lineage(stay)
+    alike = stay.groupBy("sig").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).where("c > 1")
+    sizes = alike.groupBy("c", "sum").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("c") / BLOCK_ROWS).alias("m"))
     block = F.pmod(F.xxhash64("node"), F.col("m"))
-    dealt = stay.join(sizes, "sig").select("sig", "node", "m", block.alias("block")).join(own.withColumnRenamed("set_hash", "node"), "node")
+    dealt = stay.join(sizes, "sig").select("sig", "node", "m", block.alias("block")).join(shapes, "node")
     held = cut_lineage(dealt.groupBy("sig", "block").applyInArrow(_close_in_block(percent), "a long, b long, sig long"))
     ends = held.where("b is null").select("sig", "a")
     least = ends.groupBy("sig").agg(F.min("a").alias("m"))
@@ -151,22 +205,23 @@ def candidate_edges(members: DataFrame, parts: int, signed: DataFrame, percent:
 
 
 def _close_in_block(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """Edges that hang together the sets of a block whose profiles allow a link; where the region has several blocks, also
-    one set (with b null) of each part of the block, for what may link it with other blocks."""
+    """Edges that hang together the parts of a block of which sets' profiles allow a link; where the region has several
+    blocks, also one set (with b null) of each part that the block then has, for what may link it with other blocks."""
 
     def run(block: pa.Table) -> pa.Table:
         rows = block.sort_by("node")
         node, n = rows["node"].to_numpy(), rows["n"].to_numpy()
-        profile = np.frombuffer(b"".join(rows["p"].to_pylist()), np.uint8).reshape(-1, PROFILE).astype(np.int16)
-        part = np.arange(len(node))
+        given = rows["profile"].to_pylist()
+        width = min(map(len, given))  # sets of a region are of one band, so their profiles hardly differ in length
+        profile = np.stack([np.frombuffer(x, np.uint8).reshape(width, -1).sum(1, dtype=np.int32) for x in given])
+        part, times = np.unique(rows["part"].to_numpy(), return_inverse=True, return_counts=True)[1:]
         edges: list[tuple[int, int | None]] = []
-        for i in range(len(node) - 1):
-            differ = np.abs(profile[i + 1 :] - profile[i]).sum(1, dtype=np.int64)
-            hit = i + 1 + np.flatnonzero((100 + percent) * differ <= (100 - percent) * (n[i] + n[i + 1 :]))
+        for i in np.flatnonzero(part != times.argmax()):  # links within the largest part are not asked for
+            other = np.flatnonzero(part != part[i])
+            differ = np.abs(profile[other] - profile[i]).sum(1, dtype=np.int64)
+            hit = other[(100 + percent) * differ <= (100 - percent) * (n[i] + n[other])]
             parts, at = np.unique(part[hit], return_index=True)
-            for p, j in zip(parts, hit[at], strict=True):
-                if p != part[i]:
-                    edges.append((node[i], node[j]))
+            edges += [(node[i], node[j]) for j in hit[at]]
             part[np.isin(part, parts)] = part[i]
         if rows["m"][0].as_py() > 1:
             edges += [(node[i], None) for i in np.unique(part, return_index=True)[1]]
@@ -297,6 +352,16 @@ def _block_links(n_words: int, percent: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def _counted(batch: pa.RecordBatch, sets: list[np.ndarray]) -> list:
+    """Cluster, shingle, and how many of a block's sets of that cluster have it."""
+    cluster = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
+    shingle = np.concatenate(sets).view(np.int64)
+    order = np.lexsort((shingle, cluster))
+    cluster, shingle = cluster[order], shingle[order]
+    at = np.flatnonzero((np.diff(cluster, prepend=~cluster[:1]) != 0) | (np.diff(shingle, prepend=~shingle[:1]) != 0))
+    return [cluster[at], shingle[at], np.diff(np.append(at, len(order)))]
+
+
 def _large_clusters(members: DataFrame, n: int, percent: int) -> DataFrame:
     """Links ``a, b`` that give the components within clusters of any size, from ``cluster, node, text``.
 
@@ -305,9 +370,9 @@ def _large_clusters(members: DataFrame, n: int, percent: int) -> DataFrame:
     the pivot that the triangle inequality leaves; rings are dealt into blocks, and a unit of work is a block of such
     sets with a block of any.
     """
-    tokens = _per_set(members, n, "cluster long, t long", lambda batch, i, s: [(c, t) for c in (batch.column("cluster")[i].as_py(),) for t in s.view(np.int64).tolist()])
+    tokens = _of_texts(members.select("cluster", "text"), n, "cluster long, t long, c long", _counted)
     rows = members.groupBy("cluster").agg(F.count("*").alias("rows"))
-    often = tokens.groupBy("cluster", "t").agg(F.count("*").alias("df")).join(rows, "cluster").where("2 * df > rows")
+    often = tokens.groupBy("cluster", "t").agg(F.sum("c").alias("df")).join(rows, "cluster").where("2 * df > rows")
     pivot = often.groupBy("cluster").agg(F.collect_list("t").alias("p"))  # at most twice the mean size of the cluster's sets
     pivot = cut_lineage(pivot.select("cluster", F.array_sort("p").alias("p")))
 
@@ -358,29 +423,35 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = cut_lineage(set_sizes(text, n))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), text.rdd.getNumPartitions())
-    cluster = cut_lineage(components(candidate_edges(set_signatures(text, n, percent), parts, signed, percent)))
-    release(spark)
-    counts = cluster.groupBy("component").agg(F.count("*").alias("rows"))
-    sized = cluster.join(counts, "component").select("node", F.col("component").alias("cluster"), "rows")
     sets = signed.where("doc_id is not null and n_shingles > 0").select("doc_id", F.col("set_hash").alias("node"))
-    # one document's text stands for each set that has candidates
-    stands = cut_lineage(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(sized, "node"))
-    held = KeptTable(text.join(stands, "doc_id").dropDuplicates(["node"]) if _repeats(signed) else text.join(stands, "doc_id"))
+    # one document's text stands for each set that may be linked
+    stands = cut_lineage(sets.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(_lonely(text, n, percent), "node", "left_anti"))
+    repeats = _repeats(signed)
+    first = joined_to_small(text, stands, "doc_id").select("node", "text")
+    if repeats:  # of the rows of an id, one with the set that the id stands for
+        same = _of_texts(first, n, "node long, own long, text string", lambda batch, made: [batch.column(0), set_hashes(made), batch.column(1)])
+        first = same.where("node = own").dropDuplicates(["node"]).select("node", "text")
+    open_ = KeptTable(first)
     release(spark)
-    links = _small_clusters(held.rows.where(F.col("rows") <= CLUSTER_ROWS).select("cluster", "node", "text"), n, percent).where("a <> b")
-    if not stands.where(F.col("rows") > CLUSTER_ROWS).isEmpty():
-        links = links.unionByName(_large_clusters(held.rows.where(F.col("rows") > CLUSTER_ROWS).select("cluster", "node", "text"), n, percent))
+    cluster = cut_lineage(clusters_of(open_.rows, n, percent, parts))
+    release(spark)
+    counts = cluster.groupBy("component").agg(F.count("*").alias("rows"))
+    sized = cut_lineage(cluster.join(counts, "component").select("node", F.col("component").alias("cluster"), "rows"))
+    held = joined_to_small(open_.rows, sized, "node")
+    links = _small_clusters(held.where(F.col("rows") <= CLUSTER_ROWS).select("cluster", "node", "text"), n, percent).where("a <> b")
+    if not sized.where(F.col("rows") > CLUSTER_ROWS).isEmpty():
+        links = links.unionByName(_large_clusters(held.where(F.col("rows") > CLUSTER_ROWS).select("cluster", "node", "text"), n, percent))
     # a set's id is that of its smallest document; sets of one id, where rows repeat it, are linked by it
     ids = sets.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     joined = cut_lineage(components(links))
-    held.drop()
+    open_.drop()
     of_set = ids.join(joined, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = of_set.join(least, "component").select(F.col("node").alias("set_hash"), "component_id")
     out = signed.join(named, "set_hash", "left")
     whole = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
     out = out.select("doc_id", "n_shingles", "set_hash", whole.alias("component_id"))
-    return _joined_by_id(out) if _repeats(signed) else out
+    return _joined_by_id(out) if repeats else out
 
 
 def _repeats(signed: DataFrame) -> bool:

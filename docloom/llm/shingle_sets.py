@@ -1,4 +1,9 @@
-"""Sets of word shingles, and the set signatures by which the similarity join finds its regions.
+"""Sets of word shingles, and what the similarity join knows of a set: shingles no other set has, and signatures.
+
+Lone shingles.  A set has at most a known share of its shingles outside any set linked with it.  One with more shingles
+than that which occur in no other set is linked with nothing.  To show that, the shingles in a part of the hash range
+are looked up, a part little above that share; it is larger for smaller sets, so each set also lists what the smallest
+set that can be linked with it looks up.
 
 Signatures.  A document's shingle set is cut by hash into as many classes as two linked documents can differ in
 shingles, and some more: then at least one class holds the same shingles in both, so both emit that class's
@@ -19,8 +24,12 @@ from docloom.llm.textblocks import Words, mix64, sequence_hash
 BAND_RATIO = 1.35
 #: Classes beyond those that the differences need: this share of them, and some.  So many classes agree in linked sets.
 SPARE, MORE = 1 / 6, 3
-#: Numbers of a profile: how many of a set's hashes lie in each equal part of their range.
-PROFILE = 64
+#: Part of the hash range that is looked up, as a multiple of the share of shingles that may differ; small sets look up more.
+LOOK = 1.25
+#: Hash functions by whose smallest values sets find pivots.
+PIVOTS = 6
+#: Binary logarithm of the least number of a profile's parts, and hashes in a part, at most about.
+LEAST_BITS, PER_PART = 6, 8
 
 
 def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
@@ -63,11 +72,62 @@ def band(size: int, percent: int) -> tuple[int, int, int, int, int]:
         at, low = at + 1, high
 
 
-def profiles(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of PROFILE counts (255 at most) per set.  Two sets differ in at least the sum of the counts' differences."""
-    out = np.zeros((len(sets), PROFILE), np.uint8)
-    for i, s in enumerate(sets):
-        out[i] = np.minimum(255, np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PROFILE))
+def _range_end(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Where the looked-up part of the hash range ends, in units of 2**32 of it; never ascends with the size."""
+    share = (100 - percent) / 100
+    return (np.minimum(1.0, LOOK * share + np.sqrt(share / np.maximum(sizes, 1))) * float(1 << 32)).astype(np.uint64)
+
+
+def occurrences(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The looked-up shingles of distinct sets, each once: shingle, the least and the greatest hash of a set that has it,
+    and how many lone shingles that set may have and still be linked (-1 where it does not look this shingle up)."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    every = np.concatenate([*sets, np.empty(0, np.uint64)])
+    row, top = np.repeat(np.arange(len(sets)), sizes), every >> np.uint64(32)
+    # a linked set has at least percent/100 of this one's shingles
+    listed = np.flatnonzero(top < _range_end(-(-sizes * percent // 100), percent)[row])
+    row, top, every = row[listed], top[listed], every[listed]
+    spare = np.where(top < _range_end(sizes, percent)[row], (sizes * (100 - percent) // 100)[row], -1)
+    order = np.argsort(every, kind="stable")
+    every, node, spare = every[order], set_hashes(sets)[row[order]], spare[order]
+    at = np.flatnonzero(np.diff(every, prepend=~every[:1]) != 0)
+    if not len(at):
+        return every.view(np.int64), node, node, spare
+    return every[at].view(np.int64), np.minimum.reduceat(node, at), np.maximum.reduceat(node, at), np.maximum.reduceat(spare, at)
+
+
+def least_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of PIVOTS values per non-empty set: its smallest shingle hash under each of so many hash functions."""
+    first = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]).astype(np.int64)
+    every = np.concatenate(sets)
+    return np.stack([mix64(np.minimum.reduceat(mix64(every + np.uint64(i + 1)), first) + np.uint64(i)) for i in range(PIVOTS)], 1).view(np.int64)
+
+
+def profiles(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Per set a row of counts (255 at most): how many of its hashes lie in each of equal parts of their range.
+
+    The number of parts is a power of two that grows with the set, so that there are PER_PART hashes in a part or fewer:
+    then sets that have nothing in common differ visibly at every size.
+    """
+    out = []
+    for s in sets:
+        bits = max(LEAST_BITS, (len(s) // PER_PART).bit_length())
+        out.append(np.minimum(255, np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)).astype(np.uint8))
+    return out
+
+
+def profile_gaps(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """For each pair of profiles the sum of their counts' differences, in as many parts as the shorter one has.
+
+    By the triangle inequality two sets differ in at least so many shingles: neither adding up parts nor cutting counts
+    off at 255 makes the sum greater.
+    """
+    out = np.zeros(len(one), np.int64)
+    sizes = np.array([(len(x), len(y)) for x, y in zip(one, two, strict=True)], np.int64).reshape(-1, 2)
+    for m, k in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes[:, 0] == m) & (sizes[:, 1] == k))
+        x, y = (np.frombuffer(b"".join([c[i] for i in at]), np.uint8).reshape(len(at), min(m, k), -1).sum(2, dtype=np.int32) for c in (one, two))
+        out[at] = np.abs(x - y).sum(1)
     return out
 
 
@@ -105,7 +165,7 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, list[n
                 if slack < 1:  # rare: its empty classes count too
                     empty = np.setdiff1d(np.arange(b[3], dtype=np.uint64), which[start[cut[i] : cut[i + 1]]])
                     mine = np.concatenate([mine, mix64(mix64(np.zeros(len(empty), np.uint64)) + (empty << np.uint64(32)) + code[i])])
-                    slack = b[4]
+                    slack = 1  # a linked set may leave out its empty classes
                 out[i].append(mine)
                 tags[i].append(np.full(len(mine), b[0] << 16 | slack, np.int32))
     return whole, [np.concatenate(x).view(np.int64) if x else np.empty(0, np.int64) for x in out], [np.concatenate(x) if x else np.empty(0, np.int32) for x in tags]
