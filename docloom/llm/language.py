@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters of labelled text per language, and languages (the most frequent ones), that the model is fitted on.
-TRAIN_CHARS, MOST_LANGUAGES = 40_000, 64
+#: Characters of labelled text per language that the model is fitted on.
+TRAIN_CHARS = 40_000
 #: Documents per language that are read for it, at most about.
 TRAIN_DOCS = 60
-#: Symbols of a language, the most frequent ones, whose transitions are columns of a table; those of all others are searched for.
-COLUMNS = 62
-#: Parsing starts anew after so many symbols, so that long texts are many segments.
+#: Symbols of a language, the most frequent ones, whose transitions are columns of a table; those of all others are searched
+#: for.  With many languages the columns are fewer, so that all tables take about TABLE_BYTES.
+COLUMNS, TABLE_BYTES = 62, 512 << 20
+#: Symbols of a segment; the segments of long texts are parsed side by side.
 SEGMENT = 512
 #: No language: a null text, or one without a letter.
 UNKNOWN = "und"
@@ -72,8 +73,17 @@ class Automaton:
         to[rare] = np.where(self.keys[at] == key, self.targets[at], -1)
         return to
 
+    def parse(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after symbols ``c``, and whether a phrase begins with each: it does in state 0 and where no longer
+        match goes on; a symbol that occurs nowhere is a phrase."""
+        to = self.step(state, c)
+        ended = to < 0
+        broken = np.flatnonzero(ended)
+        to[broken] = np.maximum(self.start[c[broken]], 0)
+        return to, ended | (state == 0)
 
-def suffix_automaton(symbols: np.ndarray, size: int) -> Automaton:
+
+def suffix_automaton(symbols: np.ndarray, size: int, columns: int = COLUMNS) -> Automaton:
     """The automaton of all substrings of ``symbols`` that do not hold symbol 0, which stands between texts."""
     link, length, go = [-1], [0], [{}]
     last = 0
@@ -100,7 +110,7 @@ def suffix_automaton(symbols: np.ndarray, size: int) -> Automaton:
                     p = link[p]
                 link[q] = link[now] = copy
         last = now
-    width = min(size, COLUMNS + 1)
+    width = min(size, columns + 1)
     table, rare = np.full((len(go), width), -1, np.int32), []
     for state, edges in enumerate(go):
         for c, to in edges.items():
@@ -128,28 +138,46 @@ class Model:
     bits: list[float]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Number of phrases of each normal text (row) in each language (column)."""
-        pieces = [(i, t[a : a + SEGMENT]) for i, t in enumerate(texts) for a in range(0, len(t), SEGMENT)]
-        pieces.sort(key=lambda x: -len(x[1]))
-        owner = np.array([i for i, _ in pieces], np.int64)
-        size = np.array([len(t) for _, t in pieces])
+        """Number of phrases of each normal text (row) in each language (column).
+
+        Texts are cut into segments that are parsed side by side, each as if a phrase began there.  Where one did not, the
+        segment is parsed again from the state that its predecessor ended in, until the two parses are in one state.
+        """
+        pieces = [(i, a, t[a : a + SEGMENT]) for i, t in enumerate(texts) for a in range(0, len(t), SEGMENT)]
+        pieces.sort(key=lambda x: -len(x[2]))
+        owner = np.array([i for i, _, _ in pieces], np.int64)
+        size = np.array([len(t) for _, _, t in pieces])
         out = np.zeros((len(texts), len(self.automata)), np.int64)
         if not len(pieces):
             return out
+        place = {(i, a): j for j, (i, a, _) in enumerate(pieces)}
+        after = np.array([place.get((i, a + SEGMENT), -1) for i, a, _ in pieces])
         grid = np.zeros((int(size[0]), len(pieces)), self.number.dtype)
-        for j, (_, t) in enumerate(pieces):
+        for j, (_, _, t) in enumerate(pieces):
             grid[: len(t), j] = self.number[t]
         open_ = [int(np.searchsorted(-size, -at, "left")) for at in range(int(size[0]))]  # segments longer than at
+        states, begins = np.zeros(grid.shape, np.int32), np.zeros(grid.shape, bool)
         for k, (symbol, automaton) in enumerate(zip(self.symbols, self.automata, strict=True)):
-            state, count = np.zeros(len(pieces), np.int32), np.zeros(len(pieces), np.int64)
+            state = np.zeros(len(pieces), np.int32)
             for at, n in enumerate(open_):
-                c = symbol[grid[at, :n]]
-                to = automaton.step(state[:n], c)
-                ended = to < 0
-                count[:n] += ended | (state[:n] == 0)  # a phrase begins where one ended; a symbol that occurs nowhere is one
-                broken = np.flatnonzero(ended)
-                to[broken] = np.maximum(automaton.start[c[broken]], 0)
-                state[:n] = to
+                state, begin = automaton.parse(state[:n], symbol[grid[at, :n]])
+                states[at, :n], begins[at, :n] = state, begin
+            again = np.flatnonzero(after >= 0)
+            while len(again):  # segments whose end is new to their successors
+                state = states[size[again] - 1, again]
+                now, state = after[again][state != 0], state[state != 0]
+                every, ends = now, states[size[now] - 1, now]
+                for at in range(SEGMENT):
+                    live = size[now] > at
+                    now, state = now[live], state[live]
+                    if not len(now):
+                        break
+                    to, begins[at, now] = automaton.parse(state, symbol[grid[at, now]])
+                    differ = to != states[at, now]
+                    states[at, now] = to
+                    now, state = now[differ], to[differ]
+                again = every[(states[size[every] - 1, every] != ends) & (after[every] >= 0)]
+            count = begins.sum(0, where=np.arange(len(grid))[:, None] < size)
             out[:, k] = np.bincount(owner, count, len(texts)).astype(np.int64)
         return out
 
@@ -165,16 +193,25 @@ class Model:
         return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)], np.where(known, score, 0.0)
 
 
+def _level(sizes: list[int], room: int) -> int:
+    """The greatest length to which texts of these sizes can all be cut so that they take ``room`` together at most."""
+    left = sorted(sizes)
+    for at, n in enumerate(left):
+        if n * (len(left) - at) > room:
+            return room // (len(left) - at)
+        room -= n
+    return max(left)
+
+
 def fit(samples: dict[str, list[str]]) -> Model:
-    """A model of texts by language: whole texts are taken in turn while they fit into TRAIN_CHARS symbols."""
+    """A model of texts by language; of more than TRAIN_CHARS symbols of a language the longest texts are cut alike."""
     held: dict[str, list[np.ndarray]] = {}
     for language, texts in sorted(samples.items()):
-        room = TRAIN_CHARS
-        for text in texts:
-            points, ok = normal(text)
-            if ok and (len(points) <= room or room == TRAIN_CHARS):
-                held.setdefault(language, []).append(points)
-                room -= len(points)
+        parts = [points for points, ok in map(normal, texts) if ok]
+        if parts:
+            most = max(1, _level([len(p) for p in parts], TRAIN_CHARS))
+            held[language] = [p[:most] for p in parts][:TRAIN_CHARS]
+    columns = int(min(COLUMNS, max(8, TABLE_BYTES // (8 * TRAIN_CHARS * len(held)) - 1)))
     every = np.unique(np.concatenate([p for parts in held.values() for p in parts]))
     number = np.zeros(sys.maxunicode + 1, np.uint16 if len(every) < 1 << 16 else np.uint32)
     number[every] = np.arange(1, len(every) + 1)
@@ -186,7 +223,7 @@ def fit(samples: dict[str, list[str]]) -> Model:
         symbol[number[points[np.lexsort((points, -times))]]] = np.arange(1, len(points) + 1)
         joined = np.concatenate([np.concatenate([symbol[number[p]], np.zeros(1, np.int32)]) for p in parts])
         symbols.append(symbol)
-        automata.append(suffix_automaton(joined, len(points) + 1))
+        automata.append(suffix_automaton(joined, len(points) + 1, columns))
         bits.append(math.log2(len(joined) + 1))
     return Model(list(held), number, symbols, automata, bits)
 
@@ -194,17 +231,16 @@ def fit(samples: dict[str, list[str]]) -> Model:
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", seed: int = 29) -> Model | None:
     """A model of a bounded sample of ``docs`` with a language, a text and an id; None if there is none.
 
-    Of each of the MOST_LANGUAGES most frequent languages about TRAIN_DOCS documents are drawn by a hash of the id.
+    Of each language about TRAIN_DOCS documents are drawn by a hash of the id; of a long one its first TRAIN_CHARS characters.
     """
     named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    counts = named.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = named.groupBy(F.col(lang_col).alias("lang")).count().collect()  # one row per language
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.lit(0.0)
     for r in counts:
         share = F.when(F.col(lang_col) == r["lang"], min(1.0, TRAIN_DOCS / r["count"])).otherwise(share)
-    # documents far longer than a language's share would not fit
-    fits = F.char_length(text_col) <= TRAIN_CHARS
-    rows = named.where((draw < share) & fits).select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("at"), F.col(text_col).alias("text")).collect()
+    head = F.substring(text_col, 1, TRAIN_CHARS)
+    rows = named.where(draw < share).select(F.col(lang_col).alias("lang"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("at"), head.alias("text")).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["at"], r["text"])):
         samples.setdefault(r["lang"], []).append(r["text"])
@@ -221,7 +257,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     docs = docs.drop("lang_pred", "lang_score")
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "lang_score": F.lit(0.0)})
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # languages * 2 * TRAIN_CHARS states * (COLUMNS + 1) * 4 bytes at most, and a few megabytes each for other symbols
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # TABLE_BYTES and a few megabytes a language
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def guess(texts: pa.Array) -> pa.Array:

@@ -144,8 +144,7 @@ def test_cross_parsing_is_brute_force(monkeypatch):
     assert ok and "".join(map(chr, normal)) == "das ist nicht the end und zz of"
     for k, name in enumerate(model.languages):
         trained = "".join(map(chr, language.normal(samples[name][0])[0]))
-        parts = ["".join(map(chr, normal[a : a + 50])) for a in range(0, len(normal), 50)]
-        assert model.phrases([normal])[0, k] == sum(brute_phrases(p, trained) for p in parts)
+        assert model.phrases([normal])[0, k] == brute_phrases("".join(map(chr, normal)), trained)
 
 
 def test_language_and_awkward_texts(spark):
@@ -175,9 +174,36 @@ def test_letters_of_many_scripts_have_symbols(spark, monkeypatch):
     model = language.fit({k: t[:1] for k, t in texts.items()})
     for text in (texts["zh"][1], texts["got"][1], " ".join(t[2][:40] for t in texts.values())):
         normal, _ = language.normal(text)
-        parts = ["".join(map(chr, normal[a : a + 50])) for a in range(0, len(normal), 50)]
         trained = ["".join(map(chr, language.normal(texts[k][0])[0])) for k in model.languages]
-        assert model.phrases([normal])[0].tolist() == [sum(brute_phrases(p, t) for p in parts) for t in trained]
+        assert model.phrases([normal])[0].tolist() == [brute_phrases("".join(map(chr, normal)), t) for t in trained]
+
+
+def test_language_and_score_are_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(language, "SEGMENT", 7)
+    r = random.Random(21)
+    words = {k: ["".join(r.choice(letters) for _ in range(r.randint(1, 5))) for _ in range(40)] for k, letters in {"aa": "abcdef", "bb": "cdefgh", "cc": "efghab"}.items()}
+    samples = {k: [" ".join(r.choice(v) for _ in range(80))] for k, v in words.items()}
+    model = language.fit(samples)
+    trained = {k: "".join(map(chr, language.normal(v[0])[0])) for k, v in samples.items()}
+    texts = [" ".join(r.choice(words[r.choice("abc") * 2]) for _ in range(r.randint(1, 60))) for _ in range(60)] + ["a", "zz", "abcdef" * 3000]
+    got = language.identify(corpus(spark, texts), model).orderBy("doc_id").collect()
+    for row, text in zip(got, texts, strict=True):
+        entropy = [brute_phrases(text, trained[k]) * np.log2(len(trained[k]) + 2) for k in sorted(words)]
+        assert row.lang_pred == sorted(words)[int(np.argmin(entropy))]
+        best, second = sorted(entropy)[:2]
+        assert row.lang_score == pytest.approx(1 - best / second)
+
+
+def test_languages_of_long_texts_and_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "TRAIN_CHARS", 3000)
+    r = random.Random(22)
+    names = [f"l{i:02}" for i in range(70)]
+    words = {k: ["".join(chr(0x4E00 + 40 * i + r.randrange(40)) for _ in range(2)) for _ in range(30)] for i, k in enumerate(names)}
+    rows = [(100 * i + j, " ".join(r.choice(words[k]) for _ in range(3000 if i % 2 else 60)), k, "s", 0) for i, k in enumerate(names) for j in range(2)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = language.identify(docs, language.train(docs)).collect()
+    assert all(x.lang_pred == x.lang for x in got)
+    assert language._level([5, 1, 9], 15) == 9 and language._level([5, 1, 9], 11) == 5 and language._level([5, 5, 5], 7) == 2
 
 
 # --- quality and toxicity ------------------------------------------------------------------------------------------
