@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm.samples import free_prefix
+
 #: Characters of labelled text per language that the model is fitted on.
 TRAIN_CHARS = 40_000
 #: Documents per language that are read for it, at most about.
@@ -252,7 +254,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """All columns of ``docs``, with ``lang_pred`` and ``lang_score`` (0 to 1) of its whole texts.
 
     A null text or one without a letter is ``und`` with score 0, and without a model every text is.  Ties go to the
-    language that sorts first.  Repeated rows give equal rows; columns of the new names are replaced.
+    language that sorts first.  Repeated rows give equal rows; columns of the
+    new names are replaced; an empty table gives an empty result.
     """
     docs = docs.drop("lang_pred", "lang_score")
     if model is None:
@@ -268,7 +271,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             scores.append(b)
         return pa.StructArray.from_arrays([pa.array(languages, pa.string()), pa.array(np.concatenate([*scores, np.empty(0)]))], ["lang", "score"])
 
-    return docs.withColumn("__guess", guess(F.col(text_col))).withColumns({"lang_pred": F.col("__guess.lang"), "lang_score": F.col("__guess.score")}).drop("__guess")
+    made = f"{free_prefix(docs.columns)}guess"
+    return docs.withColumn(made, guess(F.col(text_col))).withColumns({"lang_pred": F.col(f"{made}.lang"), "lang_score": F.col(f"{made}.score")}).drop(made)
 
 
 def _portions(values: list[str | None], chars: int = 1 << 21) -> Iterator[list[str | None]]:

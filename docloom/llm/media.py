@@ -415,7 +415,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A null text is an empty one.  Payload digests are of what was read back from the file's bytes.  With ``tensors``
     there are also ``media`` (the file), ``height``, ``width`` and ``rgb`` (height * width * 3 bytes).  Equal texts have
-    equal values; other columns are ignored; a text too long for one image (12 GB) is an error.
+    equal values; other columns are ignored; an empty table gives an empty result; a text too long for one image (12 GB) is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm.samples import free_prefix, row_hash
 from docloom.sources.tables import cut_lineage
 
 #: Bits of a rank, and of a digit: a digit's counts are at most 2**DIGIT rows a source.
@@ -50,22 +51,39 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], most: float) -> D
 
 
 def _rank(seed: int, name: Column, p: Column) -> Column:
-    """60 bits of a document's random odds (by its id alone) over the odds of its inclusion probability ``p``."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(name.cast("string"), F.lit(""))))
+    """60 bits of a document's random odds (by its key alone) over the odds of its inclusion probability ``p``."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), name))
     u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     q = (u / (1 - u)) * ((1 - p) / p)
     return F.when(p > 1e-9, (q / (1 + q) * F.lit(float(1 << RANK))).cast("long"))
 
 
+def _keyed(docs: DataFrame, key: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``docs`` with a column ``key``: a row's id as text.  Rows that share an id, or have none, are told apart by their
+    text and by a number among those of one text."""
+    shared = cut_lineage(docs.groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias(f"{key}_n")).where(F.col(key).isNull() | (F.col(f"{key}_n") > 1)).select(key))
+    name = F.col(id_col).cast("string")
+    if shared.isEmpty():
+        return docs.withColumn(key, name)
+    same = docs[id_col].eqNullSafe(shared[key])
+    text = F.xxhash64(text_col)
+    nth = F.row_number().over(Window.partitionBy(id_col, text, source_col).orderBy(row_hash(docs)))
+    alone = docs.join(shared, same, "left_anti").withColumn(key, name)
+    return alone.unionByName(docs.join(shared, same, "left_semi").withColumn(key, F.concat_ws(":", F.coalesce(name, F.lit("")), text.cast("string"), nth.cast("string"))))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with ``size`` (words), ``source_size``, ``target`` (words of its source) and ``copies``.
 
     A source is a value of ``source_col``, null included.  Copies are 0 to ``most``; a source's taken words differ
-    from its target by about half a document at most, unless rows repeat one id: such rows share a decision.  A null
-    or empty text has size 0 and no copy beyond the certain ones.  Equal inputs give equal results, whatever the
-    partitions.  An empty table gives an empty result.  A column of ``docs`` with the name of a new one is replaced.
+    from its target by about half a document at most.  Rows that repeat an id, or have none, are decided one by one,
+    equal rows too.  A null or empty text has size 0 and no copy beyond the certain ones.  Equal inputs give equal
+    results, whatever the partitions.  An empty table gives an empty result.  A column of ``docs`` with the name of a new one is replaced.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).isNull().alias("unnamed"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"), word_count(F.col(text_col)).alias("size"))
+    given = docs.columns
+    p = free_prefix(given)
+    docs = _keyed(docs, f"{p}id", id_col, text_col, source_col)
+    base = docs.select(F.col(f"{p}id").alias("id"), F.col(source_col).isNull().alias("unnamed"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"), word_count(F.col(text_col)).alias("size"))
     narrow = cut_lineage(base)
     sizes = narrow.groupBy("unnamed", "name").agg(F.sum("size").alias("source_size"))
     plan = source_targets(sizes, weights, most)
@@ -90,7 +108,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3,
         largest = found.agg(F.max("rows")).first()[0]
         if largest is None or largest <= CELL_ROWS:
             break
-    order = Window.partitionBy(*key).orderBy("z", F.col("id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*key).orderBy("z", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     last = (
         inside.join(small(cells), key).where(F.shiftright("z", shift) == F.col("low")).withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
         # to the nearest: a document goes with the head if it takes the sum nearer to what is wanted
@@ -102,15 +120,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3,
     # a source whose documents together don't reach what is wanted (it stops short by rounding) takes them all
     bounds = bounds.withColumn("open", (F.col("p") > 1e-9) & F.col("low").isNull()).withColumn("z_low", F.shiftleft(F.col("low"), shift))
     bounds = cut_lineage(bounds.select(*key, "source_size", "target", "whole", "p", "open", "z_low", "z_last", "last_id"))
-    new = {"size": word_count(F.col(text_col)), "__unnamed": F.col(source_col).isNull(), "__name": F.coalesce(F.col(source_col).cast("string"), F.lit(""))}
-    bound = bounds.select(*[F.col(c).alias(f"__b_{c}") for c in bounds.columns])
-    held = docs.drop("source_size", "target", "copies").withColumns(new)
-    joined = held.join(small(bound), (F.col("__unnamed") == F.col("__b_unnamed")) & (F.col("__name") == F.col("__b_name")))
-    z = _rank(seed, F.col(id_col), F.col("__b_p"))
-    head = F.col("__b_open") | (z < F.col("__b_z_low")) | (z < F.col("__b_z_last")) | ((z == F.col("__b_z_last")) & F.coalesce(F.col(id_col) <= F.col("__b_last_id"), F.col(id_col).isNull()))
-    copies = F.col("__b_whole") + F.when((F.col("size") > 0) & F.coalesce(head, F.lit(False)), 1).otherwise(0)
-    return joined.withColumns({"source_size": F.col("__b_source_size"), "target": F.col("__b_target"), "copies": copies.cast("int")}).select(
-        *[c for c in docs.columns if c not in ("size", "source_size", "target", "copies")], "size", "source_size", "target", "copies"
+    new = {"size": word_count(F.col(text_col)), f"{p}unnamed": F.col(source_col).isNull(), f"{p}name": F.coalesce(F.col(source_col).cast("string"), F.lit(""))}
+    of = {c: F.col(f"{p}b_{c}") for c in bounds.columns}
+    bound = bounds.select(*[F.col(c).alias(f"{p}b_{c}") for c in bounds.columns])
+    joined = docs.drop("source_size", "target", "copies").withColumns(new).join(small(bound), (F.col(f"{p}unnamed") == of["unnamed"]) & (F.col(f"{p}name") == of["name"]))
+    z = _rank(seed, F.col(f"{p}id"), of["p"])
+    head = of["open"] | (z < of["z_low"]) | (z < of["z_last"]) | ((z == of["z_last"]) & (F.col(f"{p}id") <= of["last_id"]))
+    copies = of["whole"] + F.when((F.col("size") > 0) & F.coalesce(head, F.lit(False)), 1).otherwise(0)
+    return joined.withColumns({"source_size": of["source_size"], "target": of["target"], "copies": copies.cast("int")}).select(
+        *[c for c in given if c not in ("size", "source_size", "target", "copies")], "size", "source_size", "target", "copies"
     )
 
 

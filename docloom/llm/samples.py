@@ -1,4 +1,4 @@
-"""Bounded, reproducible samples of labelled rows, for fitting models on the driver."""
+"""Bounded, reproducible samples of labelled rows, for fitting models on the driver; names and keys for rows."""
 
 from __future__ import annotations
 
@@ -11,6 +11,19 @@ def crc_mod(id_col: Column, n: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(n)), F.lit(0))
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that begins none of these column names, whatever their case."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
+def row_hash(df: DataFrame, seed: int = 0) -> Column:
+    """A hash of all columns that can be hashed, for an order of rows that depends on nothing else."""
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{f.name}`") for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))])
+
+
 def sample_labels(labels: DataFrame, per_label: dict[int, int], seed: int = 5) -> DataFrame:
     """``doc_id, label`` of at most about ``per_label[label]`` rows of each label, chosen by a hash of the id.
 

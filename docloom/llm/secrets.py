@@ -210,7 +210,7 @@ def secret_spans(docs: DataFrame, more: Sequence[Rule] = MORE_RULES, id_col: str
 
     Positions are code points, ends exclusive.  The base rules' spans are there whatever ``more`` adds; spans of
     different kinds may overlap.  A null or empty text has no spans; repeated rows give equal rows; other columns
-    are ignored.  With ``redact`` there is a column ``clean``: the text with every span's characters replaced by
+    are ignored; an empty table gives an empty result.  With ``redact`` there is a column ``clean``: the text with every span's characters replaced by
     ``*`` (null stays null).
     """
     rules = [*BASE_RULES, *more]

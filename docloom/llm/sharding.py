@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.llm.samples import free_prefix
+from docloom.sources.tables import cut_lineage
+
 #: UTF-8 bytes of text that a bucket holds on average.
 BUCKET_BYTES = 64 << 20
 
@@ -34,33 +37,42 @@ def external_shuffle(docs: DataFrame, shards: int = 8, seed: int = 23, bucket_by
     """``docs`` with ``shard`` (0 to shards - 1) and ``slot`` (0 on, gapless within a shard), in a random order.
 
     Buckets and their order depend on the id, the text and the seed only, and so does the result up to rows that are
-    equal in both.  Null ids and texts are values like others; rows of equal id and text share a bucket.  An empty
-    table gives an empty result.  A column of ``docs`` named shard or slot is replaced.
+    equal in both.  Null ids and texts are values like others.  Rows of equal id and text share a bucket, but for those
+    that would fill one: they are spread over all.  An empty table gives an empty result.  A column of ``docs`` named
+    shard or slot is replaced.
     """
     docs = docs.drop("shard", "slot")
-    spark = docs.sparkSession
+    spark, p = docs.sparkSession, free_prefix(docs.columns)
+    tie, bucket, size, rows = f"{p}tie", f"{p}bucket", f"{p}size", f"{p}rows"
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.count("*")).first()
     # at least one bucket for each partition of a shuffle: the more, the smaller
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((total[0] + total[1]) / bucket_bytes))
-    tie = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    keyed = docs.withColumn("__tie", tie).withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), "__tie"), F.lit(buckets)).cast("int"))
+    keyed = docs.withColumn(tie, F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
+    ties = keyed.groupBy(tie).agg(F.count("*").alias(rows), F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).alias(size)).where(F.col(rows) > 1)
+    full = ties.where(F.col(size) > bucket_bytes).select(tie, F.lit(True).alias(size))
+    place = F.pmod(F.xxhash64(F.lit(seed), tie), F.lit(buckets)).cast("int")
+    if full.isEmpty():
+        keyed = keyed.withColumn(bucket, place)
+    else:  # each fills a bucket, so there are no more of them than buckets; places of such rows are kept, as they depend on partitions
+        spread = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
+        keyed = cut_lineage(keyed.withColumn(rows, spread).join(F.broadcast(full), tie, "left").withColumn(bucket, F.when(F.col(size), F.col(rows)).otherwise(place)).drop(rows, size))
     first = np.zeros(buckets, np.int64)
-    for bucket, rows in keyed.groupBy("__bucket").count().collect():  # one number per bucket of bucket_bytes
-        first[bucket] = rows
+    for at, n in keyed.groupBy(bucket).count().collect():  # one number per bucket of bucket_bytes
+        first[at] = n
     first = np.cumsum(first) - first
 
     names = docs.columns
 
     def shuffled(group: pa.Table) -> pa.Table:
-        bucket = group["__bucket"][0].as_py()
-        group = group.take(pc.sort_indices(group.select(["__tie"]), sort_keys=[("__tie", "ascending")]))
-        order = fisher_yates(group.num_rows, np.random.Generator(np.random.PCG64([seed, bucket])))
+        which = group[bucket][0].as_py()
+        group = group.take(pc.sort_indices(group.select([tie]), sort_keys=[(tie, "ascending")]))
+        order = fisher_yates(group.num_rows, np.random.Generator(np.random.PCG64([seed, which])))
         out = group.take(pa.array(order, pa.int64())).select(names)
-        at = first[bucket] + np.arange(out.num_rows)
+        at = first[which] + np.arange(out.num_rows)
         return out.append_column("shard", pa.array((at % shards).astype(np.int32))).append_column("slot", pa.array(at // shards))
 
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return keyed.groupBy("__bucket").applyInArrow(shuffled, schema)
+    return keyed.groupBy(bucket).applyInArrow(shuffled, schema)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -139,7 +139,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """``doc_id, score`` of every row: 0 to 1, from the distinct features of the whole text.
 
     A null or empty text has no features, so its score is the bias's.  Without a model every score is 0.  Repeated
-    rows give equal rows; other columns are ignored.
+    rows give equal rows; other columns are ignored; an empty table gives an empty result.
     """
     if model is None:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(0.0).alias("score"))

@@ -18,7 +18,7 @@ from docloom.llm.decontaminate import LOWER, UPPER
 
 #: The contract's rules: verdict, then host and path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Public suffixes of two labels; other suffixes are the last label.
+#: Public suffixes of two labels that are known unless the caller gives a table; other suffixes are the last label.
 TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
 #: Blocked: lower bound (mean less BOUND deviations) of the posterior rate of bad pages above MAX_BAD.
 MAX_BAD, BOUND = 0.25, 1.0
@@ -33,10 +33,10 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.translate(F.coalesce(host, F.lit("")), UPPER, LOWER), F.coalesce(path, F.lit(""))
 
 
-def _domain_and_suffix(host: Column) -> tuple[Column, Column]:
+def _domain_and_suffix(host: Column, suffixes: Sequence[str]) -> tuple[Column, Column]:
     bare = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r"(:[0-9]*)?\.?$", "")
     last_two = F.substring_index(bare, ".", -2)
-    two = last_two.isin(*TWO_LABELS)
+    two = last_two.isin(*suffixes)
     number = bare.rlike(r"^[0-9.]+$|^\[")
     domain = F.when(number, bare).when(two, F.substring_index(bare, ".", -3)).otherwise(last_two)
     suffix = F.when(number, F.lit("")).when(two, last_two).otherwise(F.substring_index(bare, ".", -1))
@@ -68,13 +68,13 @@ def _strength(counts: DataFrame, above: str) -> float:
     return round(1 / rho - 1, 6)
 
 
-def host_reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
+def host_reputations(pages: DataFrame, outcomes: DataFrame, suffixes: Sequence[str] = TWO_LABELS) -> DataFrame:
     """``host, n, bad, mean, low`` for every host of ``pages`` (page_id, host): its labelled pages and bad ones, and the
     posterior mean and lower bound of its rate of bad pages.  ``outcomes`` has page_id and bad (0 or 1)."""
     from docloom.sources.tables import cut_lineage
 
     outcome = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    domain, suffix = _domain_and_suffix(F.col("host"))
+    domain, suffix = _domain_and_suffix(F.col("host"), suffixes)
     hosts = (
         pages.join(outcome, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
         .withColumn("domain", domain).withColumn("suffix", suffix).withColumn("every", F.lit(1))
@@ -96,17 +96,17 @@ def host_reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     return out.select("host", "n", "bad", "mean", (F.col("mean") - BOUND * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (total + 1))).alias("low"))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, max_bad: float = MAX_BAD) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES, max_bad: float = MAX_BAD, suffixes: Sequence[str] = TWO_LABELS) -> DataFrame:
     """``page_id, host, path, rule, verdict, low`` of every row of ``pages`` (page_id, url).
 
     The verdict is that of the longest fitting rule, else ``block`` if the host's lower bound is above ``max_bad``,
     else ``allow``.  A null URL or one without ``://`` has an empty host and path, and is judged as the empty host.
     Of repeated outcomes of a page the bad one counts; null ones don't; without outcomes no page is bad enough.
-    Repeated pages give equal rows, other columns are ignored, an empty table gives an empty result.
+    ``suffixes`` are the public suffixes of two labels.  Repeated pages give equal rows, other columns are ignored, an empty table gives an empty result.
     """
     host, path = url_parts(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    low = host_reputations(parts, outcomes).select("host", "low")
+    low = host_reputations(parts, outcomes, suffixes).select("host", "low")
     verdicts = F.create_map(*[F.lit(x) for verdict, rule in rules for x in (rule, verdict)])
     out = parts.join(low, "host", "left").withColumn("rule", rule_for(F.col("host"), F.col("path"), rules))
     by_host = F.when(F.col("low") > max_bad, "block").otherwise("allow")

@@ -564,6 +564,123 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), outcomes).count() == 0
 
 
+# --- awkward tables, for every operator ----------------------------------------------------------------------------
+
+CLASHES = [
+    "shard", "slot", "size", "source_size", "target", "copies", "score", "lang_pred", "lang_score", "n_shingles", "component_id", "set_hash", "node", "sig", "label", "spans", "n_words", "n_hit", "item_ids",
+    "contaminated", "text_hash", "feature", "host", "path", "rule", "verdict", "low", "__tie", "__bucket", "__b_p", "__name", "__guess", "__id", "id", "key", "name",
+]
+
+
+@pytest.fixture(scope="module")
+def operators(spark):
+    r = random.Random(31)
+    docs = corpus(spark, [prose(30, r) + (" vile" * 4 if i % 2 else "") for i in range(60)])
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label"))
+    known, good, toxic = language.train(docs), quality.train(docs, labels), toxicity.train(docs, labels)
+    items = docs.limit(5).select(F.col("doc_id").alias("item_id"), "text")
+    return {
+        "join": lambda d: jaccard_join.jaccard_components(d, 3, 90),
+        "language": lambda d: language.identify(d, known),
+        "quality": lambda d: quality.score(d, good),
+        "media": media.media_columns,
+        "sharding": sharding.external_shuffle,
+        "secrets": secrets.secret_spans,
+        "toxicity": lambda d: toxicity.score(d, toxic),
+        "mixing": mixing.mix,
+        "decontamination": lambda d: decontaminate.contamination(d, items),
+        "urls": lambda d: url_filter.judge_urls(d.withColumnsRenamed({"doc_id": "page_id", "text": "url"}), labels.select(F.col("doc_id").alias("page_id"), F.col("label").alias("bad"))).withColumnRenamed("page_id", "doc_id"),
+    }
+
+
+NAMES = ["join", "language", "quality", "media", "sharding", "secrets", "toxicity", "mixing", "decontamination", "urls"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_awkward_tables(spark, operators, name):
+    r = random.Random(32)
+    long_ = prose(180_000, r)
+    assert len(long_) > 700_000
+    texts = [*AWKWARD, long_, long_.replace("a", "b", 1), prose(30, r), "http://a.b/c"]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(None, None, None, None, None), (None, "same", None, None, 1), (None, "same", None, None, 1), (3, "other text", "en", "s", 2), (3, "one", "en", "s", 0)]
+    plain = spark.createDataFrame(rows, DOCS)
+    clashing = plain.select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate(CLASHES)])
+    one, two = operators[name](plain), operators[name](clashing)
+    both = [c for c in one.columns if c not in ("slot", "shard")]
+    got, again = ([tuple(map(str, x)) for x in df.select(*both).collect()] for df in (one, two))
+    assert sorted(got) == sorted(again)
+    assert Counter(str(x[both.index("doc_id")]) for x in got) == Counter(str(x[0]) for x in rows)
+    assert operators[name](plain.limit(0)).count() == 0
+    assert operators[name](clashing.limit(0)).schema == two.schema
+    twice = operators[name](plain.unionByName(plain)).select("doc_id").collect()
+    assert len(twice) == 2 * len(rows)
+
+
+def test_mix_of_shared_ids(spark):
+    rows = [(7 if i % 2 else None, " ".join(["w"] * 10), "en", source, i) for source in "ab" for i in range(400)] + [(i, "x " * 10, "en", "c", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(docs).collect()
+    for source in "abc":
+        mine = [x for x in got if x.source == source]
+        assert abs(sum(x.size * x.copies for x in mine) - mine[0].target) <= 10
+    again = mixing.mix(docs.repartition(9)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_shards_of_equal_rows(spark):
+    docs = spark.createDataFrame([(1, "y" * 100, "en", "s", 0)] * 500 + [(i, prose(5), "en", "s", 0) for i in range(50)], DOCS).repartition(5)
+    got = sharding.external_shuffle(docs, bucket_bytes=2000).collect()
+    per = defaultdict(list)
+    for x in got:
+        per[x.shard].append(x.slot)
+    assert len(got) == 550 and all(sorted(v) == list(range(len(v))) for v in per.values())
+    assert max(map(len, per.values())) - min(map(len, per.values())) <= 1
+
+
+def test_query_columns_of_sharding(spark):
+    from docloom.llm.catalogue import QUERIES
+
+    where = "/root/testdata/sf0.001"
+    texts = {x.doc_id: (x.text or "").encode() for x in spark.read.parquet(f"{where}/documents.parquet").collect()}
+    got = QUERIES["op5_sharding"](spark, where).collect()
+    assert sorted(x.doc_id for x in got) == sorted(texts)
+    assert all((x.size, x.text_crc32, x.law, x.grown_shard) == (len(texts[x.doc_id]) + 1, zlib.crc32(texts[x.doc_id]), "rows", None) for x in got)
+
+
+def test_scores_are_brute_force(spark):
+    r = random.Random(33)
+    words = ["".join(r.choice("abcdef") for _ in range(3)) for _ in range(30)]
+    sets = [(np.unique(np.array([r.randrange(40) for _ in range(6)], np.int32)), r.randrange(2)) for _ in range(50)]
+    model = toxicity.ftrl(sets, seed=4)
+    z, n, zb, nb = defaultdict(float), defaultdict(float), 0.0, 0.0
+    order = np.random.default_rng(4)
+    for _ in range(toxicity.EPOCHS):
+        for at in order.permutation(len(sets)):
+            bins, y = sets[at]
+            w = {b: 0.0 if abs(z[b]) <= toxicity.L1 else -(z[b] - np.sign(z[b]) * toxicity.L1) / ((toxicity.BETA + n[b] ** 0.5) / toxicity.ALPHA + toxicity.L2) for b in bins.tolist()}
+            bias = -zb / ((toxicity.BETA + nb**0.5) / toxicity.ALPHA)
+            g = 1 / (1 + np.exp(-(sum(w.values()) + bias))) - y
+            for b, x in w.items():
+                z[b] += g - ((n[b] + g * g) ** 0.5 - n[b] ** 0.5) / toxicity.ALPHA * x
+                n[b] += g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / toxicity.ALPHA * bias
+            nb += g * g
+    assert model.bins.tolist() == sorted(b for b in z if abs(z[b]) > toxicity.L1)
+    assert model.bias == pytest.approx(-zb / ((toxicity.BETA + nb**0.5) / toxicity.ALPHA))
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(5, 40))) + "!!" * r.randint(0, 3) for _ in range(80)]
+    docs, labels = corpus(spark, texts), spark.createDataFrame([(i, int(t.count("!") < 3)) for i, t in enumerate(texts)], "doc_id long, label int")
+    fitted = quality.train(docs, labels)
+    # a fitted strength is a maximum: every preference pair's pull and the ridge balance
+    x = fitted.expand(quality.features([t.encode() for t in texts]))
+    y = np.array([int(t.count("!") < 3) for t in texts])
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    pairs = x[np.random.default_rng(17).choice(good, len(bad) * quality.RIVALS)] - x[np.repeat(bad, quality.RIVALS)]
+    assert np.abs(pairs.T @ (1 / (1 + np.exp(pairs @ fitted.weights))) - fitted.weights).max() < 1e-3
+    for row in quality.score(docs, fitted).collect():
+        margin = float(x[row.doc_id] @ fitted.weights) - fitted.cut + np.log(0.3 / 0.7)
+        assert row.score == pytest.approx(1 / (1 + np.exp(-np.clip(margin, -35, 35))))
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
@@ -598,6 +715,25 @@ def test_pipeline(spark, tmp_path):
     assert sorted(x.doc_id for x in whole.collect()) == sorted(x.doc_id for x in kept[4])
 
 
+def test_awkward_stages(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(41)
+    spark.createDataFrame([(1, prose(30, r))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, prose(40, r), "en", "s", 0), (1, prose(40, r), "en", "s", 0), (None, "no id here", None, None, None), (None, "no id here", None, None, None), (2, None, None, None, None), (3, prose(150_000, r), "en", "t", 0)]
+    docs = spark.createDataFrame(rows, DOCS).select("*", *[F.lit(c).alias(c) for c in ("__b_p", "__tie", "lang_pred", "component_id", "copies", "size")])
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert set(got.columns) == set(docs.columns) | ({"shard", "slot"} if name == "sharding" else set())
+        assert got.count() >= 1 and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        assert sorted(map(str, got.collect())) == sorted(map(str, stage(spark, docs.repartition(3), str(tmp_path)).collect())) or name == "sharding"
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).select("doc_id").collect()
+    assert Counter(x.doc_id for x in kept) == {1: 1, None: 2, 2: 1, 3: 1}
+    # without a language to learn from, only rows without a letter go
+    told = corpus_pipeline.identify_language(spark, docs.withColumn("lang", F.lit(None).cast("string")), str(tmp_path))
+    assert Counter(x.doc_id for x in told.collect()) == {1: 2, None: 2, 3: 1}
+
+
 def test_types_of_queries(spark):
     from docloom.llm.catalogue import QUERIES
 
