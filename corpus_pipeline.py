@@ -8,33 +8,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import language
 from docloom.llm.decontaminate import WINDOW, contamination, word_array
 from docloom.llm.jaccard_join import jaccard_components
 from docloom.llm.mixing import mix, take_copies
+from docloom.llm.samples import free_prefix, row_hash
 from docloom.llm.sharding import external_shuffle
 from docloom.sources.tables import cut_lineage, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; those without a letter or text go."""
-    found = language.identify(docs, language.train(docs))
+    """Documents in which a language can be told; those without a letter or text go.
+
+    Where no row has a language to learn from, nothing is told and only those go.
+    """
+    model = language.train(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{IsAlphabetic}"))
+    found = language.identify(docs, model)
     return found.where(F.col("lang_pred") != language.UNKNOWN).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of five-word shingles (Jaccard 0.8 or more) hang together, the smallest id stays.
 
-    Rows that repeat an id are one document, of which one row stays; rows without an id stay.
+    Rows that repeat an id are one document, of which the row with the least hash stays; rows without an id stay.
     """
     groups = cut_lineage(jaccard_components(docs, n=5, percent=80).select("doc_id", "component_id"))
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     if not groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+        at = f"{free_prefix(docs.columns)}at"
+        order = Window.partitionBy("doc_id").orderBy(row_hash(docs))
+        named = kept.where("doc_id is not null").withColumn(at, F.row_number().over(order)).where(F.col(at) == 1).drop(at)
         kept = named.unionByName(kept.where("doc_id is null"))
     return kept.select(docs.columns)
 
