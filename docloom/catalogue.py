@@ -16,7 +16,7 @@ from docloom.functions import text as X
 from docloom.functions import vectors as V
 from docloom.operators import articles, clusters, contents, phrases, relations, reports, scoring, store, topics
 from docloom.sources import html
-from docloom.sources.tables import table
+from docloom.sources.tables import cut_lineage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -454,7 +454,7 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").join(vectors.select("doc_id"), "doc_id", "left_semi")
     classes = _class_docs(spark, d).join(vectors.select(F.col("label").cast("int").alias("class_idx")), "class_idx", "left_semi")
     semantic = scoring.embedding_scores(vectors, scoring.centroids(vectors))
-    return scoring.ranked(scoring.tfidf_scores(docs, classes).join(semantic, ["doc_id", "class_idx"]))
+    return cut_lineage(scoring.ranked(scoring.tfidf_scores(docs, classes).join(semantic, ["doc_id", "class_idx"])))
 
 
 FLAGS_SQL = f"""with dd as (select * from documents where doc_id in (select vec_id from embeddings)), bb as (select * from benchmark where item_id in (select label from embeddings)),
@@ -492,7 +492,7 @@ def _ranked_all(spark: SparkSession, d: str) -> DataFrame:
     """Ranks over all documents and classes; where no vector is given, there is no semantic score."""
     vectors = _vectors(spark, d)
     semantic = scoring.embedding_scores(vectors, scoring.centroids(vectors))
-    return scoring.ranked(scoring.tfidf_scores(table(spark, d, "documents"), _class_docs(spark, d)).join(semantic, ["doc_id", "class_idx"], "left"))
+    return cut_lineage(scoring.ranked(scoring.tfidf_scores(table(spark, d, "documents"), _class_docs(spark, d)).join(semantic, ["doc_id", "class_idx"], "left")))
 
 
 FLAGS_ALL_SQL = f"""with {EMBEDDING_SQL}, {_tfidf_sql(2)}, scored as (select doc_id, class_idx, match_score, tfidf_similarity from tfidf left join sem using (doc_id, class_idx)),

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.text import class_code, class_title, first_sentences, weighted_text, word_tokens
 from docloom.functions.vectors import dot, unit
+from docloom.sources.tables import cut_lineage
 
 
 @dataclass
@@ -43,35 +49,104 @@ def class_texts(classes: DataFrame, sentences: int | None) -> DataFrame:
     return classes.select("class_idx", F.concat_ws(". ", F.concat_ws(". ", "code", "title"), text).alias("class_text"))
 
 
-def term_counts(df: DataFrame, key: str, text: str, grams: int) -> DataFrame:
-    """``key, term, n``: words of two characters or more, and pairs of successive ones if ``grams`` is 2."""
+def _terms(text: str, grams: int) -> Column:
+    """Words of two characters or more, and pairs of successive ones if ``grams`` is 2."""
     words = word_tokens(F.col(text))
-    rows = df.select(key, words.alias("w"))
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    terms = F.concat("w", pairs) if grams == 2 else F.col("w")
-    return rows.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.concat(words, F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))) if grams == 2 else words
+
+
+@dataclass
+class TermModel:
+    """Terms in ascending order with their idf, and the classes' unit vectors as postings: those of term t are
+    ``classes`` and ``weights`` from ``first[t]`` to ``first[t + 1]``."""
+
+    terms: pa.Array
+    idf: np.ndarray
+    names: np.ndarray
+    first: np.ndarray
+    classes: np.ndarray
+    weights: np.ndarray
+    grams: int
+
+    def similarities(self, words: pa.ListArray) -> np.ndarray:
+        """Cosine of each row's words with each class: rows by classes."""
+        rows, width = len(words), len(self.names)
+        doc = np.repeat(np.arange(rows), np.diff(words.offsets.to_numpy()))
+        flat = words.flatten()
+        places = [pc.index_in(flat, value_set=self.terms)]
+        docs = [doc]
+        if self.grams == 2 and len(flat) > 1:
+            places.append(pc.index_in(pc.binary_join_element_wise(flat[:-1], flat[1:], " "), value_set=self.terms))
+            docs.append(np.where(doc[:-1] == doc[1:], doc[:-1], -1))
+        term = np.concatenate([p.fill_null(-1).to_numpy(zero_copy_only=False) for p in places]).astype(np.int64)
+        doc = np.concatenate(docs)
+        held = np.flatnonzero((term >= 0) & (doc >= 0))
+        pair, n = np.unique(doc[held] * len(self.terms) + term[held], return_counts=True)
+        doc, term = np.divmod(pair, max(1, len(self.terms)))
+        w = n * self.idf[term]
+        norm = np.sqrt(np.bincount(doc, w * w, rows))
+        many = self.first[term + 1] - self.first[term]
+        at = np.repeat(self.first[term] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        product = np.bincount(np.repeat(doc, many) * width + self.classes[at], np.repeat(w, many) * self.weights[at], rows * width).reshape(rows, width)
+        return product / np.where(norm > 0, norm, 1.0)[:, None]
+
+
+def term_model(docs: DataFrame, classes: DataFrame, text: str = "text", grams: int = 2, terms: int = 40_000) -> TermModel:
+    """Fitted on all documents and all class texts: smoothed idf of the ``terms`` most frequent terms (ties by term).
+
+    One pass counts occurrences and documents of each term together, combined before the shuffle.  What reaches the
+    driver is bounded by ``terms`` and by the classes' texts.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    every = docs.select(_terms(text, grams).alias("t")).unionAll(classes.select(_terms("class_text", grams).alias("t")))
+    seen = F.concat(F.transform("t", lambda t: F.struct(t.alias("term"), one.alias("tf"), none.alias("df"))), F.transform(F.array_distinct("t"), lambda t: F.struct(t.alias("term"), none.alias("tf"), one.alias("df"))))
+    counts = every.select(F.explode(seen).alias("s")).groupBy("s.term").agg(F.sum("s.tf").alias("tf"), F.sum("s.df").alias("df"))
+    top = counts.orderBy(F.desc("tf"), "term").limit(terms).toArrow().sort_by("term")
+    total = docs.count() + classes.count()
+    idf = np.log((1 + total) / (1 + top["df"].to_numpy())) + 1
+    vocabulary = top["term"].combine_chunks()
+    of = classes.select("class_idx", _terms("class_text", grams).alias("t")).toArrow().sort_by("class_idx")  # the classes' texts
+    names, rows = of["class_idx"].to_numpy(), []
+    for i, own in enumerate(of["t"]):
+        at, n = np.unique(pc.index_in(own.values, value_set=vocabulary).drop_null().to_numpy(), return_counts=True)
+        w = n * idf[at]
+        rows.append((at, np.full(len(at), i), w / (np.sqrt((w * w).sum()) or 1.0)))
+    term, of_class, weight = (np.concatenate([r[c] for r in rows] or [np.empty(0)]) for c in range(3))
+    order = np.lexsort((of_class, term))
+    first = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
+    return TermModel(vocabulary, idf, names, first, of_class[order].astype(np.int64), weight[order], grams)
+
+
+#: Words, and scores, that are held at once.
+HELD_WORDS, HELD_SCORES = 1 << 20, 1 << 22
 
 
 def tfidf_scores(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text", grams: int = 2, terms: int = 40_000) -> DataFrame:
     """``key, class_idx, tfidf_similarity`` of every document and class; 0 where they share no term.
 
-    The model is fitted on all documents and all class texts: smoothed idf, unit length, and the ``terms`` most frequent
-    terms (ties by term).  Norms need all terms of a document, products only those that some class has.
+    The model is fitted on all documents and all class texts; its terms and the classes' weights are sent to all tasks.
+    A document is scored where it lies: nothing is shuffled by document.
     """
-    counts = term_counts(docs.select(F.concat(F.lit("d"), F.col(key).cast("string")).alias("u"), F.col(text).alias("t")), "u", "t", grams).unionByName(
-        term_counts(classes.select(F.concat(F.lit("c"), F.col("class_idx").cast("string")).alias("u"), F.col("class_text").alias("t")), "u", "t", grams)
-    )
-    n = docs.select(F.lit(1)).unionAll(classes.select(F.lit(1))).agg(F.count("*").alias("total"))
-    stats = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf")).orderBy(F.desc("tf"), "term").limit(terms)
-    idf = stats.join(F.broadcast(n)).select("term", (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weights = counts.join(idf, "term").select("u", "term", (F.col("n") * F.col("idf")).alias("w"))
-    norms = weights.groupBy("u").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    of_class = weights.where("u like 'c%'").join(norms, "u").select(F.substring("u", 2, 20).cast("int").alias("class_idx"), "term", (F.col("w") / F.col("norm")).alias("cw"))
-    shared = weights.where("u like 'd%'").join(of_class, "term").groupBy("u", "class_idx").agg(F.sum(F.col("w") * F.col("cw")).alias("product"))
-    found = shared.join(norms, "u").select(F.substring("u", 2, 30).alias("u"), "class_idx", (F.col("product") / F.col("norm")).alias("s"))
-    every = docs.select(key, F.explode(F.array(*[F.lit(r[0]) for r in classes.select("class_idx").orderBy("class_idx").collect()])).alias("class_idx"))  # a few classes
-    same = (every[key].cast("string") == found["u"]) & (every["class_idx"] == found["class_idx"])
-    return every.join(found, same, "left").select(every[key], every["class_idx"], F.coalesce("s", F.lit(0.0)).alias("tfidf_similarity"))
+    sent = docs.sparkSession.sparkContext.broadcast(term_model(docs, classes, text, grams, terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        width = len(model.names)
+        for batch in batches:
+            words = batch.column(1)
+            ends = words.offsets.to_numpy()
+            at = 0
+            while at < len(words) and width:
+                to = max(at + 1, min(int(np.searchsorted(ends, ends[at] + HELD_WORDS, "right")) - 1, at + HELD_SCORES // width))
+                part = pa.ListArray.from_arrays(pa.array(ends[at : to + 1] - ends[at], pa.int32()), words.values[ends[at] : ends[to]])
+                scores = model.similarities(part)
+                keys = batch.column(0).take(pa.array(np.repeat(np.arange(at, to), width)))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.tile(model.names, to - at), pa.int32()), pa.array(scores.ravel())], [key, "class_idx", "tfidf_similarity"])
+                at = to
+
+    schema = T.StructType([docs.schema[key], T.StructField("class_idx", T.IntegerType()), T.StructField("tfidf_similarity", T.DoubleType())])
+    return docs.select(key, word_tokens(F.col(text)).alias("words")).mapInArrow(run, schema)
 
 
 def embedding_scores(vectors: DataFrame, class_vectors: DataFrame, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
@@ -98,10 +173,11 @@ def ranked(scores: DataFrame, key: str = "doc_id") -> DataFrame:
     return scores.withColumns({"rank_semantic": rank("match_score"), "rank_tfidf": rank("tfidf_similarity")})
 
 
-def flags(ranks: DataFrame, s: Settings | None = None, key: str = "doc_id") -> DataFrame:
+def flags(ranks: DataFrame, s: Settings | None = None, key: str = "doc_id", scores: bool = False) -> DataFrame:
     """One row per document: top classes of both methods, gaps, ambiguity, disagreement, alternative, and message.
 
-    Of a document without semantic scores what depends on them is null.
+    Of a document without semantic scores what depends on them is null.  With ``scores`` there is also the best score by
+    TF-IDF, ``tfidf_cosine``.
     """
     s = s or Settings()
     at = lambda rank, c, k: F.max(F.when(F.col(rank) == k, F.col(c)))
@@ -109,13 +185,14 @@ def flags(ranks: DataFrame, s: Settings | None = None, key: str = "doc_id") -> D
         at("rank_semantic", "class_idx", 1).alias("semantic_top1"), at("rank_tfidf", "class_idx", 1).alias("tfidf_top1"),
         F.when(at("rank_semantic", "match_score", 1).isNotNull(), F.coalesce(at("rank_semantic", "match_score", 1) - at("rank_semantic", "match_score", 2), F.lit(1.0))).alias("ambiguous_gap"),
         F.coalesce(at("rank_tfidf", "tfidf_similarity", 1) - at("rank_tfidf", "tfidf_similarity", 2), F.lit(0.0)).alias("tfidf_gap"),
+        F.round(at("rank_tfidf", "tfidf_similarity", 1), 4).alias("tfidf_cosine"),
     )
     ambiguous, differs = F.col("ambiguous_gap") < s.ambiguous_gap, F.col("semantic_top1") != F.col("tfidf_top1")
     alternative = F.when(differs & (F.col("tfidf_gap") >= s.alternative_gap), F.col("tfidf_top1"))
     kind = (
         F.when(alternative.isNotNull() & ambiguous, "suggestion+ambiguous").when(alternative.isNotNull(), "suggestion").when(ambiguous, "ambiguous").otherwise("")
     )
-    return one.select(key, "semantic_top1", "tfidf_top1", F.round("ambiguous_gap", 4).alias("ambiguous_gap"), ambiguous.alias("ambiguous"), differs.alias("discrepancy"), alternative.alias("tfidf_alternative"), kind.alias("message"))
+    return one.select(key, "semantic_top1", "tfidf_top1", F.round("ambiguous_gap", 4).alias("ambiguous_gap"), ambiguous.alias("ambiguous"), differs.alias("discrepancy"), alternative.alias("tfidf_alternative"), kind.alias("message"), *(["tfidf_cosine"] if scores else []))
 
 
 def top_classes(ranks: DataFrame, classes: DataFrame | None = None, top: int = 3, key: str = "doc_id") -> DataFrame:
@@ -133,13 +210,14 @@ def classify(articles: DataFrame, class_docs: DataFrame, vectors: DataFrame, cla
     semantic = embedding_scores(vectors, class_vectors, key)
     scored = tfidf_scores(articles, class_docs, key, text, s.grams, s.terms).join(semantic, [key, "class_idx"])
     ranks = ranked(scored, key)
-    return flags(ranks, s, key).join(top_classes(ranks, top=s.top, key=key), key)
+    ranks = cut_lineage(ranks)
+    return flags(ranks, s, key, scores=True).join(top_classes(ranks, top=s.top, key=key), key)
 
 
 def result_rows(classified: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows for the table of class results: codes and scores of both methods, and the flags as 0 or 1."""
     named = classes.select("class_idx", class_code(F.col("code")).alias("code"), class_title(F.col("title")).alias("title"))
-    first = classified.select(key, "semantic_top1", "tfidf_top1", "ambiguous", "discrepancy", F.col("top3")[0]["match_score"].alias("embed_cosine"))
+    first = classified.select(key, "semantic_top1", "tfidf_top1", "ambiguous", "discrepancy", F.col("top3")[0]["match_score"].alias("embed_cosine"), "tfidf_cosine")
     e, t = named.select(F.col("class_idx").alias("semantic_top1"), F.col("code").alias("embed_code")), named.select(F.col("class_idx").alias("tfidf_top1"), F.col("code").alias("tfidf_code"))
     out = first.join(F.broadcast(e), "semantic_top1").join(F.broadcast(t), "tfidf_top1")
-    return out.select(F.col(key).alias("article_id"), "embed_code", "embed_cosine", "tfidf_code", F.col("ambiguous").cast("int").alias("is_ambiguous"), F.col("discrepancy").cast("int").alias("has_discrepancy"))
+    return out.select(F.col(key).alias("article_id"), "embed_code", "embed_cosine", "tfidf_code", "tfidf_cosine", F.col("ambiguous").cast("int").alias("is_ambiguous"), F.col("discrepancy").cast("int").alias("has_discrepancy"))

@@ -18,8 +18,8 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows of ``df``, computed now and kept in the session's shared checkpoint folder.
 
-    The folder is the one that ``spark.checkpoint.dir`` names.  Only a session without that setting (a test) gets a
-    temporary one.
+    The folder is the one that ``spark.checkpoint.dir`` names.  A session of one process (a test) may do without that
+    setting and gets a temporary one; on a cluster a local folder would be out of the others' reach, so it is an error.
     """
     _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -28,6 +28,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def _checkpoint_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
     return context.getCheckpointDir()
 
