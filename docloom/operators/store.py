@@ -1,6 +1,7 @@
 """Tables in a folder: insert, update, delete with the constraints that Parquet does not have.
 
-A change writes the new table beside the old one and then takes its place, so a failed write leaves the old rows.
+A change writes the new table beside the old one, puts the old one aside and takes its place.  Whatever step fails, the
+old rows are in one of two known places, and the next reader puts them back.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators.relations import cascade, first_by, missing_parents, new_rows
 from docloom.schemas import CHILDREN, DEFAULTS, SCHEMAS, UNIQUE
+from docloom.sources.tables import cut_lineage
 
 
 class Store:
@@ -26,15 +28,21 @@ class Store:
     def create(self) -> None:
         """Empty tables where there are none."""
         for name, schema in SCHEMAS.items():
-            if not self._fs.exists(self._path(name)):
+            if not self._there(name):
                 self.spark.createDataFrame([], schema).write.parquet(f"{self.folder}/{name}")
 
     def exists(self) -> bool:
-        return self._fs.exists(self._path("articles"))
+        return self._there("articles")
+
+    def _there(self, name: str) -> bool:
+        """Whether the table exists; one that a broken change has put aside is put back."""
+        if not self._fs.exists(self._path(name)) and self._fs.exists(self._path(f"_old_{name}")):
+            self._fs.rename(self._path(f"_old_{name}"), self._path(name))
+        return self._fs.exists(self._path(name))
 
     def read(self, name: str) -> DataFrame:
         """A table; FileNotFoundError if it was never created."""
-        if not self._fs.exists(self._path(name)):
+        if not self._there(name):
             raise FileNotFoundError(f"{self.folder}/{name}")
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}")
 
@@ -47,9 +55,15 @@ class Store:
                 raise ValueError(f"{name}.{key} is not unique: {twice[0][0]!r}")
         if name in CHILDREN and not missing_parents(rows, self.read("articles"), "article_id", "id").isEmpty():
             raise ValueError(f"{name} has rows of articles that don't exist")
-        rows.write.mode("overwrite").parquet(f"{self.folder}/_{name}")
-        self._fs.delete(self._path(name), True)
-        self._fs.rename(self._path(f"_{name}"), self._path(name))
+        rows.write.mode("overwrite").parquet(f"{self.folder}/_new_{name}")
+        self._fs.delete(self._path(f"_old_{name}"), True)  # of a change that broke after its last rename
+        for old, new in ((name, f"_old_{name}"), (f"_new_{name}", name)):
+            self._move(old, new)
+        self._fs.delete(self._path(f"_old_{name}"), True)
+
+    def _move(self, old: str, new: str) -> None:
+        if not self._fs.rename(self._path(old), self._path(new)):
+            raise OSError(f"could not rename {self.folder}/{old} to {new}")
 
     def _shaped(self, name: str, rows: DataFrame) -> DataFrame:
         columns = []
@@ -62,10 +76,11 @@ class Store:
         return rows.select(columns)
 
     def _numbered(self, name: str, rows: DataFrame, order: str) -> DataFrame:
-        """New ids after the largest one.  Ranks within range partitions, and where each partition begins."""
+        """New ids after the largest one.  Ranks within range partitions, and where each partition begins.  Lineage is cut,
+        so that partitions are those that were counted."""
         last = self.read(name).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         ordered = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-        ordered = ordered.persist()
+        ordered = cut_lineage(ordered)
         counts = sorted((r["__p"], r["count"]) for r in ordered.groupBy("__p").count().collect())  # one row per partition
         start, at = {}, last
         for p, n in counts:
@@ -96,6 +111,7 @@ class Store:
         if strict and counts["inserted"] < total:
             raise ValueError(f"not inserted into {name}: {counts}")
         rows.write.mode("append").parquet(f"{self.folder}/{name}")
+        rows.unpersist()
         return counts
 
     def update(self, name: str, row_id: int, values: Mapping[str, object]) -> int:

@@ -43,13 +43,20 @@ def model_topics(store: Store, options: Options) -> topics.TopicModel:
 
 
 def cluster(store: Store, encode: Encoder, options: Options) -> tuple[str, int, float]:
-    """Clusters by the best text view, named by topics; replaces the cluster results."""
+    """Clusters by the best text view, named by topics; replaces the cluster results.
+
+    All views are compared over the same articles: those of which any view has text.
+    """
     defined, _ = relations.defined_topics(store.read("articles"))
-    views = {name: encode(defined.select("id", "topic", text.alias("view")).where("trim(view) <> ''"), "view").persist() for name, text in text_views().items()}
+    texts = defined.select("id", "topic", *[text.alias(name) for name, text in text_views().items()])
+    texts = texts.where(F.greatest(*[F.char_length(F.regexp_replace(name, r"(?U)[\s.]", "")) for name in text_views()]) > 0)
+    views = {name: encode(texts.select("id", "topic", F.col(name).alias("view")), "view").persist() for name in text_views()}
     view, k, score = clusters.select_view(views, options.least_clusters, options.most_clusters)
     labelled = clusters.kmeans(views[view], k, starts=20)
     named = labelled.join(F.broadcast(clusters.cluster_names(labelled)), "cluster")
     store.replace("clustering_results", named.select("id", F.col("id").alias("article_id"), F.col("name").alias("cluster_name")))
+    for kept in views.values():
+        kept.unpersist()
     return view, k, score
 
 

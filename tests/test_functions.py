@@ -32,6 +32,12 @@ def test_cleaning(spark):
     assert each(spark, X.contents_line, ["— Модель  сети.;"]) == ["Модель сети"]
     assert each(spark, X.letters_only_text, ["Модель (x=1) , , сети -. конец, да;да"]) == ["Модель сети конец, да; да"]
     assert each(spark, X.parsed_tokens, ["['a', 'b']", "oops", None]) == [["a", "b"], [], []]
+    assert each(spark, X.parsed_tokens, ["['a', \"b'c\", 'd']", "[]"]) == [["a", "b'c", "d"], []]
+    assert each(spark, X.strip_page, ["Название сети -", None, "- Раздел: 12"]) == ["Название сети", "", "Раздел"]
+    assert each(spark, X.title_tokens, ["Онлайн-обучение в сети", None]) == [["онлайн", "обучение", "сети"], []]
+    assert each(spark, lambda c: X.cyrillic_tokens(c, X.stop_words()), ["Данные и модель не будут энергосетью"]) == [["модель", "будут", "энергосетью"]] or "модель" in X.stop_words()
+    lemma = lambda w: F.transform(w, lambda x: F.regexp_replace(x, "и$", "ь"))
+    assert each(spark, lambda c: X.cyrillic_tokens(c, ("сеть",), lemma), ["модели сети"]) == [["модель"]]
     assert each(spark, X.cyrillic_tokens, ["Это Модель, и model сети"]) == [["это", "модель", "сети"]]
 
 
@@ -66,7 +72,7 @@ def test_references_are_cut():
     assert articles.cut_references("") == ""
 
 
-@pytest.mark.parametrize(("a", "b", "score"), [("Модель сети", "Модель сети", 1.0), ("Модель сети", "Модель энергосети и анализ", 0.5386), ("Модель энергосети и анализ", "Модель сети", 0.4219), ("ИИ", "Модель", 0.0), ("Alpha beta", "Alpha gamma", 0.55)])
+@pytest.mark.parametrize(("a", "b", "score"), [("Модель сети", "Модель сети", 1.0), ("Модель сети", "Модель энергосети и анализ", 0.5386), ("Модель энергосети и анализ", "Модель сети", 0.4219), ("ИИ", "Модель", 0.0), ("Онлайн-обучение", "онлайн обучение", 1.0), ("Alpha beta", "Alpha gamma", 0.55)])
 def test_title_score(a, b, score):
     assert contents.title_score(a, b) == pytest.approx(score, abs=1e-4)
 

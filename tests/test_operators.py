@@ -84,6 +84,36 @@ def test_store(spark, tmp_path):
     assert saved.timestamp is not None and saved.is_ambiguous == 0
 
 
+def test_broken_change_keeps_the_old_rows(spark, tmp_path, monkeypatch):
+    s = Store(spark, str(tmp_path / "db"))
+    s.create()
+    s.insert("articles", spark.createDataFrame([(1, "T1")], "o int, title string"), "o")
+    for broken in ("articles", "_new_articles"):  # the first or the second rename never happens
+        move = s._move
+
+        def fails(old, new, broken=broken, move=move):
+            if old == broken:
+                raise OSError("gone")
+            move(old, new)
+
+        monkeypatch.setattr(s, "_move", fails)
+        with pytest.raises(OSError):
+            s.update("articles", 1, {"topic": broken})
+        monkeypatch.undo()
+        assert rows(Store(spark, str(tmp_path / "db")).read("articles").select("id", "title", "topic")) == [(1, "T1", None)]
+    assert s.update("articles", 1, {"topic": "x"}) == 1 and s.read("articles").first().topic == "x"
+
+
+def test_topics_of_shared_pages(spark):
+    entries = spark.createDataFrame(
+        [("s", 1, "Модели и методы", "Первая", 5, False), ("s", 2, "Анализ систем", "Вторая", 5, False), ("s", 3, "", "Третья", 9, False)],
+        "source string, seq int, topic string, toc_title string, toc_page int, no_theme boolean",
+    )
+    own = spark.createDataFrame([("s", 1, "Совсем другое", 7), ("s", 2, "Ничего общего", 1)], "source string, seq int, title string, pdf_page int")
+    got = {r.seq: r.topic for r in contents.match_topics(own, entries).collect()}
+    assert got == {1: "Анализ систем", 2: "Модели и методы"}
+
+
 def test_statistics_of_nothing(spark):
     from docloom.schemas import SCHEMAS
 
@@ -133,6 +163,10 @@ def test_phrases(spark):
     assert ("new", "york") in {(r.a, r.b) for r in found.collect()}
     merged = {r.doc_id: r.tokens for r in phrases.merge_phrases(docs, found.where("a = 'new'"), "doc_id").collect()}
     assert merged[0] == ["new_york", "is", "w0"] and merged[99] == ["york", "new_york", "new_york"]
+    every = spark.createDataFrame([("a", "a")], "a string, b string")
+    runs = spark.createDataFrame([(1, ["a", "a", "a", "b", "a", "a"]), (2, []), (3, ["a"]), (4, ["a", "a", "a", "a"])], "doc_id int, tokens array<string>")
+    merged = {r.doc_id: r.tokens for r in phrases.merge_phrases(runs, every, "doc_id").collect()}
+    assert merged == {1: ["a_a", "a", "b", "a_a"], 2: [], 3: ["a"], 4: ["a_a", "a_a"]}
 
 
 def test_dictionary_and_tokens(spark):
