@@ -177,6 +177,37 @@ def test_dictionary_and_tokens(spark):
         topics.prepared(docs.withColumn("tokens", F.slice("tokens", 1, 20)))
 
 
+@pytest.mark.parametrize("at_once", [3, 1 << 16])
+def test_windows_are_brute_force(spark, monkeypatch, at_once):
+    import random
+
+    import numpy as np
+
+    r = random.Random(1)
+    words, window = ["a", "b", "c"], 5
+    docs = [[r.choice([*words, "x", "y", "z"]) for _ in range(n)] for n in (0, 1, 4, 5, 6, 40, 80)]
+    both, total = np.zeros((3, 3)), 0
+    for d in docs:
+        for s in range(max(1, len(d) - window + 1)):
+            inside = [w in d[s : s + window] for w in words]
+            both += np.outer(inside, inside)
+            total += 1
+    count = topics._count_windows
+    monkeypatch.setattr(topics, "_count_windows", lambda own, window, out: count(own, window, out, at_once))
+    got = np.zeros((3, 3), np.int64)
+    for d in docs:
+        topics._count_windows(np.array([words.index(w) if w in words else -1 for w in d], np.int64), window, got)
+    assert (got == both).all()
+    monkeypatch.undo()
+    p = both / total
+    npmi = np.log((p + 1e-12) / np.outer(np.diag(p), np.diag(p))) / -np.log(p + 1e-12)
+    whole = npmi.sum(0)
+    expected = np.mean([row @ whole / np.linalg.norm(row) / np.linalg.norm(whole) for row in npmi])
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)] + [(99, None)], "doc_id int, tokens array<string>")
+    assert topics.coherence(df.where("doc_id < 99"), [words], window=window) == pytest.approx(expected)
+    assert topics.coherence(df.where("doc_id < 0"), [words]) == 0.0
+
+
 def test_links_and_next():
     page = '<div class="pagination"><a href="/1">1</a><span class="current">2</span><a href="/3">3</a></div>'
     assert html.next_address(page) == "/3"
