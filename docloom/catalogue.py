@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 from docloom.functions import vectors as V
 from docloom.operators import articles, clusters, contents, phrases, relations, reports, scoring, store, topics
+from docloom.plans import pipeline
 from docloom.sources import html
 from docloom.sources.tables import cut_lineage, table
 
@@ -220,6 +221,29 @@ def json_extract_top1(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k"))
 
 
+@query("select event_id, (coalesce(try_cast(json_extract_string(props, '$.k') as double), 0) <> 0)::int as k_flag, 0::int as missing_flag from events")
+def json_flags(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", V.json_flag(F.col("props"), "$.k").alias("k_flag"), V.json_flag(F.col("props"), "$.none").alias("missing_flag"))
+
+
+@query(
+    """with f as (select l_orderkey, min(struct_pack(code := l_partkey::varchar, score := l_discount)) as m from lineitem where l_linenumber = 1 group by 1)
+select o_orderkey, coalesce(m.code, '') as code, coalesce(m.score, 0.0) as score from orders left join f on l_orderkey = o_orderkey"""
+)
+def json_top_by_rank(spark: SparkSession, d: str) -> DataFrame:
+    """An order's lines packed as JSON, and the one of rank 1 read back."""
+    item = F.struct(F.col("l_partkey").cast("string").alias("code"), F.col("l_discount").alias("match_score"), F.col("l_linenumber").alias("rank_tfidf"))
+    packed = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(V.items_json(F.array_sort(F.collect_list(item))).alias("json"))
+    top = V.top_by_rank(F.col("json"))
+    return table(spark, d, "orders").select("o_orderkey").join(packed, "o_orderkey", "left").select("o_orderkey", top["code"].alias("code"), top["score"].alias("score"))
+
+
+@query(f"select * from ({SAVED_SQL}) where id = 7")
+def saved_by_id(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), F.col("event_type").alias("tfidf_code"), F.col("event_type").alias("embed_code"), "user_id")
+    return relations.by_key(rows, "id", 7)
+
+
 @query(
     """with r as (select *, lag(role) over (partition by conv_id order by turn) as before from conversations where role is not null and trim(role) <> '' and turn <> 0)
 select conv_id, turn, role from r where before is null or before <> role"""
@@ -347,6 +371,36 @@ def ordered_concat_split(spark: SparkSession, d: str) -> DataFrame:
     return whole.select("conv_id", F.posexplode(F.split("text", "\n")).alias("seq", "piece")).withColumn("piece", F.md5("piece"))
 
 
+SQUEEZE_SQL = "trim(regexp_replace(coalesce({0}, ''), '[\\s\\x0B\\x{{00A0}}\\x{{0085}}\\x{{2028}}\\x{{2029}}]+', ' ', 'g'), ' ')"
+
+
+@query(
+    f"""with a as (select doc_id, {SQUEEZE_SQL.format("split_part(text, '.', 1)")} as t, {SQUEEZE_SQL.format("source")} as s, {SQUEEZE_SQL.format("lang")} as l, {SQUEEZE_SQL.format("text")} as m from documents),
+t as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}{{2,}}') as w from documents)
+select doc_id, md5(trim(t || '. ' || s || '. ' || l || '.', ' ')) as title_ann_kw, md5(substr(m, 1, 9000)) as title_ann_kw_mt, md5(substr(coalesce(array_to_string(w, ' '), ''), 1, 9000)) as title_ann_kw_ct from a join t using (doc_id)"""
+)
+def text_views(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select(
+        "doc_id", F.substring_index("text", ".", 1).alias("title"), F.col("source").alias("annotation"), F.col("lang").alias("keywords"), F.col("text").alias("main_text"), X.word_tokens(F.col("text")).alias("lda_tokens")
+    )
+    return rows.select("doc_id", *[F.md5(view).alias(name) for name, view in pipeline.text_views().items()])
+
+
+@query(
+    r"""select doc_id, array_to_string(list_filter(string_split_regex(regexp_replace(replace(lower(coalesce(split_part(text, '.', 1), '')), 'ё', 'е'), '[^0-9a-zа-я\s]', ' ', 'g'), '\s+'), lambda w: length(w) >= 3), ' ') as tokens from documents"""
+)
+def title_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.title_tokens(F.substring_index("text", ".", 1)), " ").alias("tokens"))
+
+
+@query(
+    f"""select doc_id, md5({SQUEEZE_SQL.format("regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}\\s]', ' ', 'g')")}) as words, substr(coalesce(text, ''), 1, 120) as head from documents"""
+)
+def plain_words(spark: SparkSession, d: str) -> DataFrame:
+    """A text's words for comparison, and its head for display."""
+    return table(spark, d, "documents").select("doc_id", F.md5(X.plain_words(F.col("text"))).alias("words"), X.preview(F.col("text")).alias("head"))
+
+
 # --- phrases and dictionaries --------------------------------------------------------------------------------------
 
 TOKENS_SQL = f"t as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}{{2,}}') as w from documents)"

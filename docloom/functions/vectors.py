@@ -45,6 +45,16 @@ def top_by_rank(json: Column, rank: str = "rank_tfidf", code: str = "code", scor
     return F.struct(F.coalesce(first[code], F.lit("")).alias("code"), F.coalesce(first[score], F.lit(0.0)).alias("score"))
 
 
+def json_flag(json: Column, path: str) -> Column:
+    """A number in a JSON text as 0 or 1; 0 where there is none, or no JSON."""
+    return (F.coalesce(F.get_json_object(json, path).try_cast("double"), F.lit(0.0)) != 0).cast("int")
+
+
+def items_json(items: Column) -> Column:
+    """An array of structs as JSON text, as saved classifications are shown and exchanged; ``[]`` for null."""
+    return F.coalesce(F.to_json(items), F.lit("[]"))
+
+
 def k_range(least: int, most: int, n: int) -> range:
     """Cluster counts that ``n`` rows allow."""
     low, high = max(2, min(least, n - 2)), min(most, n - 1)
