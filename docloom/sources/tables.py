@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,34 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The folder is the one that ``spark.checkpoint.dir`` names.  A session of one process (a test) may do without that
     setting and gets a temporary one; on a cluster a local folder would be out of the others' reach, so it is an error.
     """
-    _checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    _checkpoint_folder(spark)
+    with _own_shuffles(spark):
+        return df.checkpoint(eager=True)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the kept rows of a result of :func:`cut_lineage` that nothing refers to any more."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        _delete(df.sparkSession, file.get())
+
+
+@contextmanager
+def _own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Delete the shuffle files that are made meanwhile, as what is computed from them is kept elsewhere."""
+    context = spark.sparkContext._jsc.sc()
+    first = context.newShuffleId()
+    yield
+    cleaner = context.cleaner()
+    if cleaner.isDefined():
+        for number in range(first + 1, context.newShuffleId()):
+            cleaner.get().doCleanupShuffle(number, False)
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _checkpoint_folder(spark: SparkSession) -> str:
@@ -47,15 +74,9 @@ class KeptTable:
 
     def __init__(self, df: DataFrame):
         self.spark, self.path = df.sparkSession, f"{_checkpoint_folder(df.sparkSession)}/docloom-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        with _own_shuffles(self.spark):
+            df.write.parquet(self.path)
         self.rows = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        _delete(self.spark, self.path)
