@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.sources.tables import cut_lineage
+from docloom.sources.tables import cut_lineage, forget
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,6 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen:
             break
         mark = seen
-        now = cut_lineage(_star(_star(now, True), False))
+        last, now = now, cut_lineage(_star(_star(now, True), False))
+        forget(last)
     leaves = now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
     return leaves.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from docloom.llm.components import components
 from docloom.llm.shingle_sets import least_hashes, occurrences, profile_gaps, profiles, set_hashes, shingle_sets, signatures
 from docloom.llm.textblocks import Words, blocks
-from docloom.sources.tables import KeptTable, cut_lineage, joined_to_small, release
+from docloom.sources.tables import KeptTable, cut_lineage, joined_to_small
 
 #: Sets of a region up to which its pairs are candidates.
 PAIRS_ROWS = 12
@@ -120,11 +120,9 @@ def clusters_of(held: DataFrame, n: int, percent: int, parts: int) -> DataFrame:
     stars = cut_lineage(_stars(shapes, percent))
     part = components(stars).select("node", F.col("component").alias("part"))
     placed = cut_lineage(shapes.select("node").join(part, "node", "left").select("node", F.coalesce("part", "node").alias("part")))
-    release(held.sparkSession)
     signed = _signatures_of(joined_to_small(held, placed, "node").select("node", "part", "text"), n, percent)
     shared = cut_lineage(signed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("sig"))
     members = cut_lineage(joined_to_small(signed, shared, "sig").select("sig", "node", "tag"))
-    release(held.sparkSession)
     edges = candidate_edges(members, parts, shapes.select("node", "n", "profile").join(placed, "node"), percent)
     return components(stars.unionByName(edges))
 
@@ -432,9 +430,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         same = _of_texts(first, n, "node long, own long, text string", lambda batch, made: [batch.column(0), set_hashes(made), batch.column(1)])
         first = same.where("node = own").dropDuplicates(["node"]).select("node", "text")
     open_ = KeptTable(first)
-    release(spark)
     cluster = cut_lineage(clusters_of(open_.rows, n, percent, parts))
-    release(spark)
     counts = cluster.groupBy("component").agg(F.count("*").alias("rows"))
     sized = cut_lineage(cluster.join(counts, "component").select("node", F.col("component").alias("cluster"), "rows"))
     held = joined_to_small(open_.rows, sized, "node")
