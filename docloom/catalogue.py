@@ -504,20 +504,20 @@ def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks over all documents and classes; where no vector is given, there is no semantic score."""
     vectors = _vectors(spark, d)
-    docs = table(spark, d, "documents").join(vectors.select("doc_id"), "doc_id", "left_semi")
-    classes = _class_docs(spark, d).join(vectors.select(F.col("label").cast("int").alias("class_idx")), "class_idx", "left_semi")
     semantic = scoring.embedding_scores(vectors, scoring.centroids(vectors))
-    return cut_lineage(scoring.ranked(scoring.tfidf_scores(docs, classes).join(semantic, ["doc_id", "class_idx"])))
+    return cut_lineage(scoring.ranked(scoring.tfidf_scores(table(spark, d, "documents"), _class_docs(spark, d)).join(semantic, ["doc_id", "class_idx"], "left")))
 
 
-FLAGS_SQL = f"""with dd as (select * from documents where doc_id in (select vec_id from embeddings)), bb as (select * from benchmark where item_id in (select label from embeddings)),
-{EMBEDDING_SQL}, {_tfidf_sql(2, "dd", "bb")}, scored as (select doc_id, class_idx, match_score, tfidf_similarity from tfidf join sem using (doc_id, class_idx)),
-rk as (select *, row_number() over (partition by doc_id order by match_score desc, class_idx desc) as rs, row_number() over (partition by doc_id order by tfidf_similarity desc, class_idx desc) as rt from scored),
-fl as (select doc_id, max(class_idx) filter (rs = 1) as semantic_top1, max(class_idx) filter (rt = 1) as tfidf_top1,
-  coalesce(max(match_score) filter (rs = 1) - max(match_score) filter (rs = 2), 1.0) as gap, coalesce(max(tfidf_similarity) filter (rt = 1) - max(tfidf_similarity) filter (rt = 2), 0.0) as tgap from rk group by 1),
+FLAGS_SQL = f"""with {EMBEDDING_SQL}, {_tfidf_sql(2)}, scored as (select doc_id, class_idx, match_score, tfidf_similarity from tfidf left join sem using (doc_id, class_idx)),
+rk as (select *, case when match_score is not null then row_number() over (partition by doc_id order by match_score desc nulls last, class_idx desc) end as rs, row_number() over (partition by doc_id order by tfidf_similarity desc, class_idx desc) as rt from scored),
+fl as (select doc_id, max(class_idx) filter (rs = 1) as semantic_top1, max(class_idx) filter (rt = 1) as tfidf_top1, case when count(match_score) > 0 then
+  coalesce(max(match_score) filter (rs = 1) - max(match_score) filter (rs = 2), 1.0) end as gap, coalesce(max(tfidf_similarity) filter (rt = 1) - max(tfidf_similarity) filter (rt = 2), 0.0) as tgap from rk group by 1),
 fo as (select doc_id, semantic_top1, tfidf_top1, round(gap, 4) as ambiguous_gap, gap < 0.02 as ambiguous, semantic_top1 <> tfidf_top1 as discrepancy,
   case when semantic_top1 <> tfidf_top1 and tgap >= 0.02 then tfidf_top1 end as tfidf_alternative from fl)"""
+
+
 FLAG_COLUMNS_SQL = "doc_id, semantic_top1, tfidf_top1, ambiguous_gap, ambiguous, discrepancy, tfidf_alternative, case when tfidf_alternative is not null and ambiguous then 'suggestion+ambiguous' when tfidf_alternative is not null then 'suggestion' when ambiguous then 'ambiguous' else '' end as message"
 
 
@@ -532,48 +532,12 @@ def class_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""{FLAGS_SQL}, pl as (select doc_id, class_idx, round(match_score, 4) as m, row_number() over (partition by doc_id order by round(match_score, 4) desc, class_idx) as place from rk),
+    f"""{FLAGS_SQL}, pl as (select doc_id, class_idx, row_number() over (partition by doc_id order by round(match_score, 4) desc, class_idx) as place from rk where match_score is not null),
 tp as (select doc_id, string_agg(place || ':' || class_idx, ',' order by place) as top3 from pl where place <= 3 group by 1)
-select {FLAG_COLUMNS_SQL}, top3 from fo join tp using (doc_id)"""
+select {FLAG_COLUMNS_SQL}, top3 from fo left join tp using (doc_id)"""
 )
 def classify_two_methods(spark: SparkSession, d: str) -> DataFrame:
     ranks = _ranked(spark, d)
-    top = scoring.top_classes(ranks).select("doc_id", F.array_join(F.transform("top3", lambda s: F.concat_ws(":", s["rank"].cast("string"), s["class_idx"].cast("string"))), ",").alias("top3"))
-    return scoring.flags(ranks).join(top, "doc_id")
-
-
-def _ranked_all(spark: SparkSession, d: str) -> DataFrame:
-    """Ranks over all documents and classes; where no vector is given, there is no semantic score."""
-    vectors = _vectors(spark, d)
-    semantic = scoring.embedding_scores(vectors, scoring.centroids(vectors))
-    return cut_lineage(scoring.ranked(scoring.tfidf_scores(table(spark, d, "documents"), _class_docs(spark, d)).join(semantic, ["doc_id", "class_idx"], "left")))
-
-
-FLAGS_ALL_SQL = f"""with {EMBEDDING_SQL}, {_tfidf_sql(2)}, scored as (select doc_id, class_idx, match_score, tfidf_similarity from tfidf left join sem using (doc_id, class_idx)),
-rk as (select *, case when match_score is not null then row_number() over (partition by doc_id order by match_score desc nulls last, class_idx desc) end as rs, row_number() over (partition by doc_id order by tfidf_similarity desc, class_idx desc) as rt from scored),
-fl as (select doc_id, max(class_idx) filter (rs = 1) as semantic_top1, max(class_idx) filter (rt = 1) as tfidf_top1, case when count(match_score) > 0 then
-  coalesce(max(match_score) filter (rs = 1) - max(match_score) filter (rs = 2), 1.0) end as gap, coalesce(max(tfidf_similarity) filter (rt = 1) - max(tfidf_similarity) filter (rt = 2), 0.0) as tgap from rk group by 1),
-fo as (select doc_id, semantic_top1, tfidf_top1, round(gap, 4) as ambiguous_gap, gap < 0.02 as ambiguous, semantic_top1 <> tfidf_top1 as discrepancy,
-  case when semantic_top1 <> tfidf_top1 and tgap >= 0.02 then tfidf_top1 end as tfidf_alternative from fl)"""
-
-
-@query(f"{FLAGS_ALL_SQL} select {FLAG_COLUMNS_SQL} from fo")
-def tfidf_topk_flags_all(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.flags(_ranked_all(spark, d))
-
-
-@query(f"{FLAGS_ALL_SQL} select doc_id, class_idx, rs::int as rank_semantic, rt::int as rank_tfidf from rk")
-def class_ranks_all(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked_all(spark, d).select("doc_id", "class_idx", "rank_semantic", "rank_tfidf")
-
-
-@query(
-    f"""{FLAGS_ALL_SQL}, pl as (select doc_id, class_idx, row_number() over (partition by doc_id order by round(match_score, 4) desc, class_idx) as place from rk where match_score is not null),
-tp as (select doc_id, string_agg(place || ':' || class_idx, ',' order by place) as top3 from pl where place <= 3 group by 1)
-select {FLAG_COLUMNS_SQL}, top3 from fo left join tp using (doc_id)"""
-)
-def classify_two_methods_all(spark: SparkSession, d: str) -> DataFrame:
-    ranks = _ranked_all(spark, d)
     top = scoring.top_classes(ranks.where("match_score is not null")).select("doc_id", F.array_join(F.transform("top3", lambda s: F.concat_ws(":", s["rank"].cast("string"), s["class_idx"].cast("string"))), ",").alias("top3"))
     return scoring.flags(ranks).join(top, "doc_id", "left")
 
@@ -674,19 +638,19 @@ def lda_grid_coherence(spark: SparkSession, d: str) -> DataFrame:
 
 # --- contents and articles -----------------------------------------------------------------------------------------
 
-CONTENTS = (
-    "Содержание\nМодели и методы анализа систем\nИванов И.И.\nМодель сети 5\nПетров П.П. Анализ данных\n17\nСидоров С.С. Оценка сети........29\nЦифровые технологии управления\nи анализ\nОценка риска 41\ncontent\nlate line 99",
-    "УДК 004.8\nМодель сети\nтекст",
-)
-
+HEADING = "Модели и методы анализа систем"
 
-def _contents_pages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("a.pdf", 1, CONTENTS[0]), ("a.pdf", 2, CONTENTS[1])], "source string, page_num int, text string")
 
-
-@query()
+@query(
+    f"""with c as (select conv_id, turn, coalesce(role, 'x') as role, row_number() over (partition by conv_id order by turn, coalesce(role, 'x')) as seq, count(*) over (partition by conv_id) as n from conversations)
+select conv_id::varchar as source, seq::int as seq, case when n <= 3 then '' else '{HEADING}' end as topic, 'Статья ' || role || ' о задаче' as toc_title, (turn + 1)::int as toc_page, n <= 3 as no_theme from c"""
+)
 def toc_parse(spark: SparkSession, d: str) -> DataFrame:
-    return contents.sane_topics(contents.toc_entries(contents.contents_lines(_contents_pages(spark))))
+    """Conversations set as files whose table of contents lists their turns, parsed again; short ones have no topics."""
+    turns = table(spark, d, "conversations").select("conv_id", F.struct("turn", F.coalesce("role", F.lit("x")).alias("role")).alias("t")).groupBy(F.col("conv_id").cast("string").alias("source")).agg(F.array_sort(F.collect_list("t")).alias("t"))
+    lines = F.transform("t", lambda t: F.concat_ws(" ", F.lit("Статья"), t.role, F.lit("о задаче"), (t.turn + 1).cast("string")))
+    pages = turns.select("source", F.lit(1).alias("page_num"), F.concat_ws("\n", F.lit("Содержание"), F.lit(HEADING), F.array_join(lines, "\n")).alias("text"))
+    return contents.sane_topics(contents.toc_entries(contents.contents_lines(pages)))
 
 
 @query()

@@ -58,14 +58,14 @@ def test_documents_and_classes_without_vectors(spark, duck, tmp_path):
     spark.read.parquet(f"{TABLES}/embeddings.parquet").where("vec_id % 2 = 0").toPandas().to_parquet(tmp_path / "embeddings.parquet")
     ids = [r[0] for r in duck.execute("select doc_id from documents order by 1").fetchall()]
     classes = duck.execute("select count(*) from benchmark").fetchone()[0]
-    ranks = QUERIES["class_ranks_all"](spark, str(tmp_path)).collect()
+    ranks = QUERIES["class_ranks"](spark, str(tmp_path)).collect()
     assert len(ranks) == len(ids) * classes
     assert sorted(r.rank_tfidf for r in ranks) == sorted(list(range(1, classes + 1)) * len(ids))
     assert {r.doc_id for r in ranks if r.rank_semantic} == {i for i in ids if i % 2 == 0}
     own = duckdb.connect()
     for f in glob.glob(f"{tmp_path}/*.parquet"):
         own.execute(f"create view {Path(f).stem} as select * from '{f}'")
-    name = "classify_two_methods_all"
+    name = "classify_two_methods"
     df, cursor = QUERIES[name](spark, str(tmp_path)), own.execute(ORACLE_SQL[name])
     rows = df.collect()
     assert sorted(r.doc_id for r in rows) == ids
