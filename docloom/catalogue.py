@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
@@ -653,18 +653,27 @@ def toc_parse(spark: SparkSession, d: str) -> DataFrame:
     return contents.sane_topics(contents.toc_entries(contents.contents_lines(pages)))
 
 
+#: Documents that are set as one file.
+FILE_ROWS = 100
+
+
+def _file() -> Column:
+    return F.concat_ws("/", F.coalesce("source", F.lit("-")), F.floor(F.col("doc_id") / FILE_ROWS).cast("string"))
+
+
 @query()
 def title_score_match(spark: SparkSession, d: str) -> DataFrame:
-    """Documents' first sentences against those of the benchmark, per source, in order."""
-    rows = table(spark, d, "documents").select("source", F.col("doc_id").cast("int").alias("seq"), F.substring_index("text", ".", 1).alias("title"), F.lit(None).cast("int").alias("pdf_page"))
-    sources = rows.select("source").distinct()
-    toc = sources.join(F.broadcast(table(spark, d, "benchmark"))).select("source", F.col("item_id").cast("int").alias("seq"), F.lit("t").alias("topic"), F.substring_index("text", ".", 1).alias("toc_title"), F.lit(None).cast("int").alias("toc_page"), F.lit(False).alias("no_theme"))
-    return contents.match_topics(rows, toc)
+    """Documents set as articles of files of bounded length, matched by first sentence with their file's contents."""
+    rows = table(spark, d, "documents").select(
+        _file().alias("source"), F.col("doc_id").cast("int").alias("seq"), F.substring_index("text", ".", 1).alias("title"), (F.col("doc_id") % FILE_ROWS + 1).cast("int").alias("pdf_page"), "lang"
+    )
+    toc = rows.where("title is not null").select("source", "seq", F.coalesce("lang", F.lit("")).alias("topic"), F.col("title").alias("toc_title"), F.col("pdf_page").alias("toc_page"), F.lit(False).alias("no_theme"))
+    return contents.match_topics(rows.drop("lang"), toc)
 
 
 @query()
 def article_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Documents set as articles of one file per source, parsed again."""
+    """Documents set as articles of files of bounded length, parsed again."""
     body = F.concat(F.lit("УДК "), F.col("doc_id").cast("string"), F.lit("\nО задаче номер "), F.col("doc_id").cast("string"), F.lit("\nИванов Иван Иванович\nАннотация. Кратко о задаче. Ключевые слова: задача, метод.\nВведение. "), X.text_or_empty(F.col("text")))
-    pages = table(spark, d, "documents").select("source", (F.col("doc_id") + 1).cast("int").alias("page_num"), body.alias("text"))
+    pages = table(spark, d, "documents").select(_file().alias("source"), (F.col("doc_id") + 1).cast("int").alias("page_num"), body.alias("text"))
     return articles.parse_articles(pages).select("source", "seq", "pdf_page", "udc", "title", "authors", F.char_length("main_text").alias("chars"))
