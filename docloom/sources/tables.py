@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of narrow rows that are sent to all tasks at most.
+BROADCAST_BYTES = 32 << 20
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a directory, by Spark's own reader, so that any store Spark knows will do."""
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
@@ -63,10 +67,9 @@ def _checkpoint_folder(spark: SparkSession) -> str:
 
 def joined_to_small(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
     """The inner join of ``rows`` with narrow rows already computed: these are counted and sent to all tasks where they are
-    few enough for that; if not, both sides are shuffled."""
+    few enough for that (BROADCAST_BYTES); if not, both sides are shuffled."""
     width = sum(16 if f.dataType.typeName() in ("long", "integer", "double") else 1 << 20 for f in few.schema.fields)
-    most = rows.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return rows.join(F.broadcast(few) if few.count() * width <= most else few, key)
+    return rows.join(F.broadcast(few) if few.count() * width <= BROADCAST_BYTES else few, key)
 
 
 class KeptTable:
