@@ -1,7 +1,8 @@
 """Sharding by a two-pass external shuffle.
 
 First pass: records are scattered uniformly, by a seeded hash, into buckets that fit in memory.  Second pass: each
-bucket is shuffled by Fisher and Yates' method and takes its place after the buckets before it.  Record number p of
+bucket is shuffled by Fisher and Yates' method and takes its place after the buckets before it.  The method draws the
+places of a bucket's ranks; the records themselves are sorted to these places by Spark.  Record number p of
 the whole order goes to slot p // shards of shard p % shards, so shards differ by one record at most.
 """
 
@@ -11,10 +12,8 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docloom.llm.samples import free_prefix
 from docloom.sources.tables import cut_lineage
@@ -56,23 +55,31 @@ def external_shuffle(docs: DataFrame, shards: int = 8, seed: int = 23, bucket_by
     else:  # each fills a bucket, so there are no more of them than buckets; places of such rows are kept, as they depend on partitions
         spread = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.lit(buckets)).cast("int")
         keyed = cut_lineage(keyed.withColumn(rows, spread).join(F.broadcast(full), tie, "left").withColumn(bucket, F.when(F.col(size), F.col(rows)).otherwise(place)).drop(rows, size))
-    first = np.zeros(buckets, np.int64)
+    sizes = np.zeros(buckets, np.int64)
     for at, n in keyed.groupBy(bucket).count().collect():  # one number per bucket of bucket_bytes
-        first[at] = n
-    first = np.cumsum(first) - first
-
-    names = docs.columns
-
-    def shuffled(group: pa.Table) -> pa.Table:
-        which = group[bucket][0].as_py()
-        group = group.take(pc.sort_indices(group.select([tie]), sort_keys=[(tie, "ascending")]))
-        order = fisher_yates(group.num_rows, np.random.Generator(np.random.PCG64([seed, which])))
-        out = group.take(pa.array(order, pa.int64())).select(names)
-        at = first[which] + np.arange(out.num_rows)
-        return out.append_column("shard", pa.array((at % shards).astype(np.int32))).append_column("slot", pa.array(at // shards))
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return keyed.groupBy(bucket).applyInArrow(shuffled, schema)
+        sizes[at] = n
+    first, held = np.cumsum(sizes) - sizes, {}
+
+    # only numbers go to Python: rows are sorted where they may spill, and no process holds a bucket's texts at once
+    @F.arrow_udf("long")
+    def taken(which: pa.Array, rank: pa.Array) -> pa.Array:
+        which, rank = which.to_numpy(), rank.to_numpy()
+        out = np.empty(len(which), np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(which)) + 1).tolist(), len(which)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a < b and (of := int(which[a])) not in held:
+                held.clear()
+                order = fisher_yates(int(sizes[of]), np.random.Generator(np.random.PCG64([seed, of])))
+                held[of] = np.empty(len(order), np.int64)
+                held[of][order] = first[of] + np.arange(len(order))
+            if a < b:
+                out[a:b] = held[of][rank[a:b]]
+        return pa.array(out)
+
+    ranked = keyed.withColumn(rows, (F.row_number().over(Window.partitionBy(bucket).orderBy(tie)) - 1).cast("long"))
+    placed = ranked.withColumn(size, taken(bucket, rows)).sortWithinPartitions(size)
+    at = F.col(size)
+    return placed.withColumn("shard", F.pmod(at, F.lit(shards)).cast("int")).withColumn("slot", F.expr(f"`{size}` div {shards}").cast("long")).drop(tie, bucket, rows, size)
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

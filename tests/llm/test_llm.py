@@ -637,6 +637,19 @@ def test_shards_of_equal_rows(spark):
     assert max(map(len, per.values())) - min(map(len, per.values())) <= 1
 
 
+def test_shards_keep_texts_out_of_python(spark):
+    docs = corpus(spark, [*AWKWARD, *(prose(5) for _ in range(200))])
+    got = sharding.external_shuffle(docs, bucket_bytes=500)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"ArrowEvalPython \[taken\(([^\[]*)", plan) and "InArrow" not in plan
+    assert not re.search(r"taken\([^\[]*text", plan)
+    last, seen = {}, 0
+    for x in got.select(F.spark_partition_id().alias("part"), "shard", "slot").collect():
+        assert last.get((x.part, x.shard), -1) < x.slot  # records lie in the order of their slots
+        last[x.part, x.shard], seen = x.slot, seen + 1
+    assert seen == len(AWKWARD) + 200
+
+
 def test_query_columns_of_sharding(spark):
     from docloom.llm.catalogue import QUERIES
 
