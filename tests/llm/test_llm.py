@@ -694,6 +694,35 @@ def test_scores_are_brute_force(spark):
         assert row.score == pytest.approx(1 / (1 + np.exp(-np.clip(margin, -35, 35))))
 
 
+@pytest.mark.parametrize(("good", "bad", "block_rows"), [(12_600, 300, None), (600, 5, 64)])
+def test_quality_takes_every_labelled_row(spark, monkeypatch, good, bad, block_rows):
+    if block_rows:
+        monkeypatch.setattr(quality, "BLOCK_ROWS", block_rows)
+    r = random.Random(35)
+    texts = [prose(r.randint(1, 12), r) + "!" * (r.randrange(9) if i < good else 6 + r.randrange(9)) for i in range(good + bad)]
+    docs = corpus(spark, [*texts, "no label"]).repartition(5)
+    labels = spark.createDataFrame([(i, int(i < good)) for i in range(good + bad)], "doc_id long, label int")
+    model = quality.train(docs, labels)
+    x, y = quality.features([t.encode() for t in texts]), np.array([int(i < good) for i in range(good + bad)])
+    assert model.mean == pytest.approx(x.mean(0)) and model.scale == pytest.approx(x.std(0) + 1e-9, rel=1e-6)
+    assert model.steps == pytest.approx(np.quantile(x, np.arange(1, quality.STEPS) / quality.STEPS, axis=0).T)
+    strengths = np.sort(model.strength(x))
+    assert model.cut == pytest.approx((strengths[bad - 1] + strengths[bad]) / 2)
+    # every labelled row is in a pair, and the pairs of all blocks and the ridge balance
+    number = (good + bad) // quality.BLOCK_ROWS
+    copies = min(number, -(-quality.LEAST_ROWS * number // bad))
+    home = {i: b for i, b in labels.select("doc_id", F.expr(f"cast(pmod(xxhash64(5, doc_id), {number}) as int)")).collect()}
+    full, pull, met = model.expand(x), np.zeros(len(model.weights)), set()
+    for block in range(number):
+        own = [i for i in range(good + bad) if (block - home[i]) % number < (1 if i < good else copies)]
+        better, worse = quality.pairs(y[own], block)
+        wins = full[own][better] - full[own][worse]
+        pull += wins.T @ (1 / (1 + np.exp(wins @ model.weights)))
+        met |= {own[i] for i in (*better, *worse)}
+    assert number > 1 and len(met) == good + bad
+    assert np.abs(pull - model.weights).max() < 1e-3
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
