@@ -245,3 +245,34 @@ def test_long_articles_are_searched_once(spark):
     assert time.time() - began < 60  # 420,000 characters without a page mark; searched from every one of them it takes minutes
     marks = articles.chunks(spark.createDataFrame([("f", 1, "a\n__PAGE_7__PAGE_8__\nУДК 1\nb\n__PAGE_x__"), ("f", 9, "УДК 2\nc")], pages.schema))
     assert [(r.pdf_page, r.chunk) for r in marks.orderBy("seq").collect()] == [(1, "a\nPAGE_8__"), (8, "УДК 1\nb\n__PAGE_x__\n"), (9, "УДК 2\nc")]
+
+
+def test_phrases_are_counted_in_one_pass_and_merged_in_place(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    data = [(i, [r.choice("abcde") for _ in range(r.choice((0, 1, 2, 9, 40)))]) for i in range(300)] + [(300, None)]
+    docs, read = spark.createDataFrame(data, "doc_id int, tokens array<string>"), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    counts, words = {}, {}
+    for _, tokens in data:
+        for w in tokens or []:
+            words[w] = words.get(w, 0) + 1
+        for pair in zip(tokens or [], (tokens or [])[1:]):
+            counts[pair] = counts.get(pair, 0) + 1
+    v = len(words) + len(counts)
+    expected = {p: (n - 5) / words[p[0]] / words[p[1]] * v for p, n in counts.items() if n > 5}
+    found = phrases.phrase_scores(docs.mapInArrow(seen, docs.schema), min_count=5, threshold=0.0)
+    assert {(x.a, x.b): x.score for x in found.collect()} == pytest.approx(expected) and expected
+    assert read.value == len(data)
+    some = found.where("hash(a, b) % 3 = 0")
+    here = phrases.merge_phrases(docs, some, "doc_id")
+    assert "Exchange" not in here._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(phrases, "SENT_BYTES", 0)
+    assert rows(here) == rows(phrases.merge_phrases(docs, some, "doc_id")) != rows(docs)
+    assert rows(phrases.merge_phrases(docs, found.where("a = 'none'"), "doc_id")) == rows(docs)
