@@ -276,3 +276,30 @@ def test_phrases_are_counted_in_one_pass_and_merged_in_place(spark, monkeypatch)
     monkeypatch.setattr(phrases, "SENT_BYTES", 0)
     assert rows(here) == rows(phrases.merge_phrases(docs, some, "doc_id")) != rows(docs)
     assert rows(phrases.merge_phrases(docs, found.where("a = 'none'"), "doc_id")) == rows(docs)
+
+
+def test_all_starts_of_kmeans_share_their_passes(spark):
+    import numpy as np
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    r = np.random.default_rng(5)
+    centres = np.eye(8)[:6]
+    data = [(i, (centres[i % 6] * (1 + i % 3) + 0.05 * r.normal(size=8)).tolist()) for i in range(240)]
+    df = spark.createDataFrame(data, "k int, embedding array<double>")
+    context = spark.sparkContext
+    context.setJobGroup("scores", "scores")
+    scores = dict(clusters.k_scores(df, range(5, 11), starts=5))
+    jobs = len(context.statusTracker().getJobIdsForGroup("scores"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 200  # 30 fits one after the other take many more
+    assert list(scores) == list(range(5, 11)) and max(scores, key=scores.get) == 6
+    labelled = clusters.kmeans(df, 6, starts=5)
+    assert labelled.columns == ["k", "embedding", "cluster"] and labelled.schema["cluster"].dataType.simpleString() == "int"
+    groups = {}
+    for x in labelled.collect():
+        groups.setdefault(x.cluster, set()).add(x.k % 6)
+    assert len(groups) == 6 and all(len(g) == 1 for g in groups.values())
+    expected = ClusteringEvaluator(featuresCol="v", predictionCol="cluster", distanceMeasure="cosine").evaluate(labelled.withColumn("v", array_to_vector("embedding")))
+    assert scores[6] == pytest.approx(expected)
+    assert [x.cluster for x in labelled.orderBy("k").collect()] == [x.cluster for x in clusters.kmeans(df, 6, starts=5).orderBy("k").collect()]
