@@ -303,3 +303,39 @@ def test_all_starts_of_kmeans_share_their_passes(spark):
     expected = ClusteringEvaluator(featuresCol="v", predictionCol="cluster", distanceMeasure="cosine").evaluate(labelled.withColumn("v", array_to_vector("embedding")))
     assert scores[6] == pytest.approx(expected)
     assert [x.cluster for x in labelled.orderBy("k").collect()] == [x.cluster for x in clusters.kmeans(df, 6, starts=5).orderBy("k").collect()]
+
+
+def test_topics_take_whole_texts_and_all_documents_in_each_pass(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    groups = [[f"{g}{i}" for i in range(12)] for g in "abc"]
+    data = [(i, r.choice(groups[i % 3], 900).tolist() + [f"late{i % 3}"] * 5) for i in range(30)]
+    docs = spark.createDataFrame(data, "doc_id int, tokens array<string>")
+    assert {len(x.tokens) for x in topics.prepared(docs).collect()} == {905}
+    assert {len(x.tokens) for x in topics.prepared(docs, most=800).collect()} == {800}
+    model = topics.fit(docs, (2, 3), passes=8, no_above=0.9)
+    assert [k for k, _ in model.coherences] == [2, 3] and model.documents == 30 and {"late0", "late1", "late2"} <= set(model.words)
+    three = topics.fit(docs, (3,), passes=8, no_above=0.9)
+    found = {x.doc_id: x for x in topics.dominant_topics(three, docs, "doc_id").collect()}
+    assert len({x.topic_id for x in found.values()}) == 3 and all(found[i].topic_id == found[i % 3].topic_id and found[i].weight > 0.9 for i in range(30))
+
+    # two passes by hand: a document at a time, all of them
+    words = 6
+    bags = [np.sort(r.choice(words, r.integers(1, 5), replace=False)) for _ in range(40)]
+    kept = spark.createDataFrame([(b.tolist(), [1 + int(x) % 3 for x in b]) for b in bags], "w array<int>, n array<int>")
+    weights = np.random.default_rng(7).gamma(100.0, 0.01, (words, 2))
+    prior = np.array([1 / 2**0.5, 1 / (1 + 2**0.5)])
+    prior /= prior.sum()
+    for _ in range(2):
+        table, counts = topics.Lda(weights, prior).table(), np.zeros((words, 2))
+        for b in bags:
+            n, own = 1.0 + b % 3, table[b]
+            gamma = prior + n.sum() / 2
+            for _ in range(500):
+                share = np.exp(topics._digamma(gamma) - topics._digamma(gamma.sum()))
+                gamma = prior + share * ((n / (own @ share)) @ own)
+            share = np.exp(topics._digamma(gamma) - topics._digamma(gamma.sum()))
+            counts[b] += share * (n / (own @ share))[:, None]
+        weights = 1 / 2 + counts * table
+    assert topics.models(kept, words, [2], 2, 7)[2].weights == pytest.approx(weights, rel=0.02)
