@@ -92,16 +92,57 @@ class TermModel:
         return product / np.where(norm > 0, norm, 1.0)[:, None]
 
 
+#: Words, and scores, that are held at once when documents are scored; words and documents when terms are counted.
+HELD_WORDS, HELD_SCORES, COUNTED_WORDS, COUNTED_ROWS = 1 << 20, 1 << 22, 1 << 22, 1 << 16
+
+
+def _held(words: pa.ListArray, most_words: int, most_rows: int = 1 << 31) -> Iterator[tuple[int, int, pa.ListArray]]:
+    """Rows one after the other, with where they begin and end: so many words and rows at once, one row at least."""
+    ends, at = words.offsets.to_numpy(), 0
+    while at < len(words):
+        to = max(at + 1, min(int(np.searchsorted(ends, ends[at] + most_words, "right")) - 1, at + most_rows))
+        yield at, to, pa.ListArray.from_arrays(pa.array(ends[at : to + 1] - ends[at], pa.int32()), words.values[ends[at] : ends[to]])
+        at = to
+
+
+def term_counts(words: pa.ListArray, grams: int) -> Iterator[pa.RecordBatch]:
+    """``term, tf, df`` over some rows of words: occurrences of each term, and rows that have it."""
+    doc = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+    coded = words.flatten().dictionary_encode()
+    word, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+    def counted(code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        both = np.sort(code * len(words) + doc)  # of at most 2 ** 44 codes and COUNTED_ROWS rows
+        code = both // max(1, len(words))
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1])[: len(code)])
+        rows = np.append(True, both[1:] != both[:-1])[: len(both)]
+        df = np.add.reduceat(rows, first, dtype=np.int64) if len(first) else first
+        return code[first], pa.array(np.diff(np.append(first, len(code))), pa.int64()), pa.array(df, pa.int64())
+
+    terms, tf, df = counted(word, doc)
+    yield pa.RecordBatch.from_arrays([names.take(pa.array(terms)), tf, df], ["term", "tf", "df"])
+    if grams == 2 and len(word) > 1:
+        same = doc[:-1] == doc[1:]
+        terms, tf, df = counted((word[:-1] * len(names) + word[1:])[same], doc[:-1][same])
+        a, b = np.divmod(terms, max(1, len(names)))
+        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(names.take(pa.array(a)), names.take(pa.array(b)), " "), tf, df], ["term", "tf", "df"])
+
+
 def term_model(docs: DataFrame, classes: DataFrame, text: str = "text", grams: int = 2, terms: int = 40_000) -> TermModel:
     """Fitted on all documents and all class texts: smoothed idf of the ``terms`` most frequent terms (ties by term).
 
-    One pass counts occurrences and documents of each term together, combined before the shuffle.  What reaches the
+    One pass counts occurrences and documents of each term together, combined where they lie (terms become text when their
+    numbers have been counted) and again before the shuffle.  What reaches the
     driver is bounded by ``terms`` and by the classes' texts.
     """
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    every = docs.select(_terms(text, grams).alias("t")).unionAll(classes.select(_terms("class_text", grams).alias("t")))
-    seen = F.concat(F.transform("t", lambda t: F.struct(t.alias("term"), one.alias("tf"), none.alias("df"))), F.transform(F.array_distinct("t"), lambda t: F.struct(t.alias("term"), none.alias("tf"), one.alias("df"))))
-    counts = every.select(F.explode(seen).alias("s")).groupBy("s.term").agg(F.sum("s.tf").alias("tf"), F.sum("s.df").alias("df"))
+    every = docs.select(word_tokens(F.col(text)).alias("words")).unionAll(classes.select(word_tokens(F.col("class_text")).alias("words")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, part in _held(batch.column(0), COUNTED_WORDS, COUNTED_ROWS):
+                yield from term_counts(part, grams)
+
+    counts = every.mapInArrow(run, "term string, tf long, df long").groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     top = counts.orderBy(F.desc("tf"), "term").limit(terms).toArrow().sort_by("term")
     total = docs.count() + classes.count()
     idf = np.log((1 + total) / (1 + top["df"].to_numpy())) + 1
@@ -118,8 +159,6 @@ def term_model(docs: DataFrame, classes: DataFrame, text: str = "text", grams: i
     return TermModel(vocabulary, idf, names, first, of_class[order].astype(np.int64), weight[order], grams)
 
 
-#: Words, and scores, that are held at once.
-HELD_WORDS, HELD_SCORES = 1 << 20, 1 << 22
 
 
 def tfidf_scores(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text", grams: int = 2, terms: int = 40_000) -> DataFrame:
@@ -133,22 +172,52 @@ def tfidf_scores(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         width = len(model.names)
-        for batch in batches:
-            words = batch.column(1)
-            ends = words.offsets.to_numpy()
-            at = 0
-            while at < len(words) and width:
-                to = max(at + 1, min(int(np.searchsorted(ends, ends[at] + HELD_WORDS, "right")) - 1, at + HELD_SCORES // width))
-                part = pa.ListArray.from_arrays(pa.array(ends[at : to + 1] - ends[at], pa.int32()), words.values[ends[at] : ends[to]])
+        for batch in batches if width else ():
+            for at, to, part in _held(batch.column(1), HELD_WORDS, HELD_SCORES // width):
                 scores = model.similarities(part)
                 keys = batch.column(0).take(pa.array(np.repeat(np.arange(at, to), width)))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(np.tile(model.names, to - at), pa.int32()), pa.array(scores.ravel())], [key, "class_idx", "tfidf_similarity"])
-                at = to
 
     schema = T.StructType([docs.schema[key], T.StructField("class_idx", T.IntegerType()), T.StructField("tfidf_similarity", T.DoubleType())])
     return docs.select(key, word_tokens(F.col(text)).alias("words")).mapInArrow(run, schema)
 
 
+def ranked_scores(docs: DataFrame, classes: DataFrame, vectors: DataFrame, class_vectors: DataFrame, key: str = "doc_id", text: str = "text", grams: int = 2, terms: int = 40_000) -> DataFrame:
+    """:func:`ranked` of every document and class, where keys are of one document each; without a vector there is no
+    semantic score.
+
+    Both ranks are made where a document's scores are, in a row of arrays a document; such rows are joined by key, and
+    only then are there rows of document and class.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(term_model(docs, classes, text, grams, terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        width = len(model.names)
+        for batch in batches if width else ():
+            for at, to, part in _held(batch.column(1), HELD_WORDS, HELD_SCORES // width):
+                scores = model.similarities(part)
+                order = np.lexsort((np.broadcast_to(-model.names, scores.shape), -scores))
+                ranks = np.empty(scores.shape, np.int32)
+                np.put_along_axis(ranks, order, np.broadcast_to(np.arange(1, width + 1, dtype=np.int32), scores.shape), 1)
+                ends = pa.array(np.arange(to - at + 1) * width, pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((np.tile(model.names, to - at), pa.int32()), (scores.ravel(), pa.float64()), (ranks.ravel(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), *lists], [key, "class_idx", "tfidf_similarity", "rank_tfidf"])
+
+    kinds = {"class_idx": T.IntegerType(), "tfidf_similarity": T.DoubleType(), "rank_tfidf": T.IntegerType()}
+    schema = T.StructType([docs.schema[key], *[T.StructField(name, T.ArrayType(kind)) for name, kind in kinds.items()]])
+    own = docs.select(key, word_tokens(F.col(text)).alias("words")).mapInArrow(run, schema)
+    many = class_vectors.join(F.broadcast(classes.select("class_idx")), "class_idx", "left_semi").agg(F.collect_list(F.struct("class_idx", unit(F.col("embedding")).alias("c"))).alias("cs"))
+    scored = vectors.select(key, unit(F.col("embedding")).alias("v")).join(F.broadcast(many))
+    in_order = F.sort_array(F.transform("cs", lambda c: F.struct(dot(F.col("v"), c["c"]).alias("match_score"), c["class_idx"].alias("class_idx"))), asc=False)
+    semantic = scored.select(key, in_order.alias("o"))
+    rank = F.transform("o", lambda x, i: F.struct(x["match_score"].alias("match_score"), F.when(x["match_score"].isNotNull(), i + 1).alias("rank_semantic")))
+    semantic = semantic.select(key, F.map_from_arrays(F.transform("o", lambda x: x["class_idx"]), rank).alias("of"))
+    rows = own.join(semantic, key, "left").select(key, "of", F.explode(F.arrays_zip(*kinds)).alias("x")).select(key, "of", "x.*")
+    found = F.try_element_at("of", F.col("class_idx"))
+    return rows.select(key, "class_idx", "tfidf_similarity", found["match_score"].alias("match_score"), found["rank_semantic"].alias("rank_semantic"), "rank_tfidf")
+
+
 def embedding_scores(vectors: DataFrame, class_vectors: DataFrame, key: str = "doc_id", vector: str = "embedding") -> DataFrame:
     """``key, class_idx, match_score``: cosine of each vector with each class's (few, so they are broadcast)."""
     own = vectors.select(key, unit(F.col(vector)).alias("v"))

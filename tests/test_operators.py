@@ -339,3 +339,30 @@ def test_topics_take_whole_texts_and_all_documents_in_each_pass(spark):
             counts[b] += share * (n / (own @ share))[:, None]
         weights = 1 / 2 + counts * table
     assert topics.models(kept, words, [2], 2, 7)[2].weights == pytest.approx(weights, rel=0.02)
+
+
+def test_terms_are_counted_and_ranks_made_in_place(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    import pyarrow as pa
+
+    r = random.Random(4)
+    texts = [[r.choice(["aa", "bb", "cc", "dd"]) for _ in range(r.choice((0, 1, 2, 7, 30)))] for _ in range(60)]
+    tf, df = Counter(), Counter()
+    for words in texts:
+        own = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        tf.update(own)
+        df.update(set(own))
+    told = [x for b in scoring.term_counts(pa.array(texts, pa.list_(pa.string())), 2) for x in b.to_pylist()]
+    assert {x["term"]: (x["tf"], x["df"]) for x in told} == {t: (tf[t], df[t]) for t in tf}
+
+    monkeypatch.setattr(scoring, "COUNTED_WORDS", 16)
+    docs = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(texts)], "doc_id long, text string")
+    classes = spark.createDataFrame([(i, w) for i, w in enumerate(("aa bb", "bb cc", "aa bb", "xx", "dd"))], "class_idx int, class_text string")
+    vectors = spark.createDataFrame([(i, [r.random(), r.choice([0.0, 1.0])]) for i in range(0, 90, 2)], "doc_id long, embedding array<double>")
+    own = spark.createDataFrame([(0, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (9, [1.0, 1.0])], "class_idx int, embedding array<double>")
+    plain = scoring.ranked(scoring.tfidf_scores(docs, classes).join(scoring.embedding_scores(vectors, own), ["doc_id", "class_idx"], "left"))
+    here = scoring.ranked_scores(docs, classes, vectors, own)
+    assert here.columns == plain.columns and rows(here) == rows(plain) and here.count() == 300
+    assert here._jdf.queryExecution().executedPlan().toString().count("Window") == 0
